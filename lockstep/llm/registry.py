@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op10_simhash import op10_simhash
 from .op2_suffix_dedup import op2_suffix_dedup
+from .op3_packing import op3_packing
+from .op8_decontamination import op8_decontamination
 from .op9_lz_dedup import op9_lz_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_dedup, op9_lz_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_dedup, op3_packing, op8_decontamination, op9_lz_dedup, op10_simhash)}
 ORACLES: dict[str, str] = {}
