@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,11 @@ from .packing import pack
 from .shared import saved
 
 CAPACITY, END = 2048, 0
-#: Words whose ids a Python worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+#: Parts of texts, and words, whose ids a Python worker remembers; beyond that it starts afresh.
+PARTS, WORDS = 300_000, 700_000
 #: Pieces of about so many rows are numbered together.
 NUMBERED = 50_000
-_BLANKS = str.maketrans("\n\t\r", "   ")
+_STOP = "\x01"
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -28,24 +29,52 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _encoded(words: list[str], tokenizer: object) -> Iterator[bytes]:
+    """Ids of each word. Many go through the tokenizer as one text, with a sign between them that has an id of its own."""
+    stop = tokenizer.encode(_STOP, add_special_tokens=False).ids
+    for a in range(0, len(words), 1000):
+        some = words[a : a + 1000]
+        ids = np.array(tokenizer.encode(f" {_STOP} ".join(some), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(ids == stop[0]) if len(stop) == 1 else np.zeros(0, int)
+        if len(cuts) == len(some) - 1:
+            yield from (ids[x:z].tobytes() for x, z in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True))
+        else:  # a word holds the sign
+            yield from (np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in some)
+
+
+def _base(part: str) -> tuple[str, str]:
+    """A word in letters whose first is lower case, and a full stop or comma after it; else the part itself. The tokenizer lowers case and parts words from signs, so ids add up."""
+    tail = part[-1:] if part.endswith((".", ",")) else ""
+    word = part[: len(part) - len(tail)]
+    if not word.isalpha():
+        return part, ""
+    first = word[0].lower()
+    return (first + word[1:], tail) if len(first) == 1 else (part, "")
+
+
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids (unsigned, little-endian, 32 bits). The vocabulary drops white space, so a text's ids are those of its space-separated parts."""
+    """Each text's ids (unsigned, little-endian, 32 bits). The vocabulary drops white space, so a text's ids are those of its parts between blanks."""
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _TOKENIZERS[path]
-    parts = [t.translate(_BLANKS).split(" ") for t in texts]
-    new = set().union(*parts) - known.keys()
+        _TOKENIZERS[path] = (Tokenizer.from_file(path), {}, {})
+    tokenizer, known, words = _TOKENIZERS[path]
+    parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    new = set(filterfalse(known.__contains__, chain.from_iterable(parts)))
     if new:
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > PARTS:
             known.clear()
-            new = set().union(*parts)
-        new = list(new)
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for word, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
+            new = set(chain.from_iterable(parts))
+        if len(words) > WORDS:
+            words.clear()
+        bases = [(p, *_base(p)) for p in new]
+        missing = {".", ","}.union(b for _, b, _ in bases) - words.keys()
+        if missing:
+            missing = list(missing)
+            words.update(zip(missing, _encoded(missing, tokenizer), strict=True))
+        ends = {"": b"", ".": words["."], ",": words[","]}
+        for part, base, tail in bases:
+            known[part] = words[base] + ends[tail]
     get = known.__getitem__
     return [b"".join(map(get, p)) for p in parts]
 

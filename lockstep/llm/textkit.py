@@ -142,21 +142,23 @@ def spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(**columns: np.ndarray) -> bytes:
     """Columns as one compressed blob: bytes of equal weight stand together; sorted columns (name ends in _up) as differences."""
-    out = {}
+    head, planes = [], []
     for name, x in columns.items():
+        head.append((name, x.dtype.str, len(x)))
         if name.endswith("_up") and len(x):
             x = np.concatenate([x[:1], np.diff(x)])
-        planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
-        out[name] = (x.dtype.str, len(x), pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
-    return pickle.dumps(out)
+        planes.append(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
+    return pickle.dumps((head, pa.compress(b"".join(planes) + b"\0", codec="zstd", asbytes=True)))
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
-    out = {}
-    for name, (kind, n, planes) in pickle.loads(blob).items():
+    head, planes = pickle.loads(blob)
+    raw = np.frombuffer(pa.decompress(planes, sum(np.dtype(t).itemsize * n for _, t, n in head) + 1, codec="zstd", asbytes=True), np.uint8)
+    out, at = {}, 0
+    for name, kind, n in head:
         dtype = np.dtype(kind)
-        raw = pa.decompress(planes, n * dtype.itemsize, codec="zstd", asbytes=True) if n else b""
-        x = np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, n).T.copy().view(dtype).reshape(n)
+        x = raw[at : at + dtype.itemsize * n].reshape(dtype.itemsize, n).T.copy().view(dtype).reshape(n)
+        at += dtype.itemsize * n
         out[name] = np.cumsum(x, dtype=dtype) if name.endswith("_up") else x
     return out
 

@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from .textkit import PAD_BYTE, chunks, gram_hashes, lift, mix, pack, prefix_sums, runs, slice_hashes, spread, unpack, utf8, window_min, word_hashes, words
 
 #: Text bytes of a bucket, and the fewest buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 16
+BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 48
 #: Anchors or windows that a task holds before it sorts and sends them.
-FLUSH = 2_000_000
-#: Units hashed at once.
-SEGMENT = 1 << 19
+FLUSH = 500_000
+#: Rows taken from a batch at once, and units hashed at once.
+STEP = 256
+SEGMENT = 1 << 18
 WIRE = "bucket int, kind string, blob binary"
 _PAD_WORD = np.uint64(0xA5A5A5A5DEADBEEF)
 ID, TH, B, TEXT = "__w_id", "__w_th", "__w_b", "__w_text"
@@ -122,20 +123,20 @@ def order(key: np.ndarray, ids: np.ndarray, context: np.ndarray | None) -> np.nd
 
 
 class Docs:
-    """The documents that packed columns refer to: id, text hash and bucket."""
+    """The documents that packed columns refer to: id and text hash."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
-    def add(self, ids: np.ndarray, th: np.ndarray, b: np.ndarray) -> int:
-        self.parts.append((ids, th, b))
+    def add(self, ids: np.ndarray, th: np.ndarray) -> int:
+        self.parts.append((ids, th))
         self.n += len(ids)
         return self.n - len(ids)
 
     def arrays(self) -> tuple[np.ndarray, ...]:
         if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(self.parts) > 1:
             self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
         return self.parts[0]
@@ -144,8 +145,11 @@ class Docs:
 def sealed(docs: tuple[np.ndarray, ...], doc: np.ndarray, **columns: np.ndarray) -> bytes:
     """One blob of columns with the documents they use."""
     used, local = np.unique(doc, return_inverse=True)
-    narrow = np.uint16 if len(used) < 65536 else np.uint32
-    return pack(i=docs[0][used], t=docs[1][used], b=docs[2][used], d=local.astype(narrow), **columns)
+    o = np.argsort(docs[0][used], kind="stable")
+    rank = np.empty(len(o), np.uint16 if len(o) < 65536 else np.uint32)
+    rank[o] = np.arange(len(o))
+    used = used[o]
+    return pack(i_up=docs[0][used], t=docs[1][used].astype(np.uint32), d=rank[local], **columns)
 
 
 def dealt(kind: str, bucket: np.ndarray, docs: tuple[np.ndarray, ...], doc: np.ndarray, **columns: np.ndarray) -> Iterator[tuple]:
@@ -164,8 +168,8 @@ def opened(blobs: list[bytes]) -> tuple[tuple[np.ndarray, ...], dict[str, np.nda
     """The blobs' documents and columns, each as one; d counts through all documents."""
     docs, columns = Docs(), []
     for x in map(unpack, blobs):
-        base = docs.add(x.pop("i"), x.pop("t"), x.pop("b"))
-        columns.append(x | {"d": x["d"].astype(np.int64) + base})
+        base = docs.add(x.pop("i_up"), x.pop("t").astype(np.int64))
+        columns.append(x | {"d": x["d"].astype(np.uint32) + np.uint32(base)})
     return docs.arrays(), {n: np.concatenate([c[n] for c in columns]) for n in columns[0]} if columns else {}
 
 
@@ -198,16 +202,17 @@ def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: i
     def rows() -> Iterator[tuple]:
         docs, held, n = Docs(), [], 0
         for batch in batches:
-            ids, th, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in (ID, TH, B))
-            texts = utf8(batch.column(TEXT))
-            for i, j in chunks(texts):
-                text, pos, gram, context = anchors(texts[i:j], unit, window, k)
-                base = docs.add(ids[i:j], th[i:j], b[i:j])
-                held.append(((text + base).astype(np.uint32), pos.astype(np.uint32), gram, context))
-                n += len(text)
-                if n >= flush:
-                    yield from flushed(docs, held)
-                    docs, held, n = Docs(), [], 0
+            ids, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in (ID, TH))
+            for at in range(0, batch.num_rows, STEP):
+                texts = utf8(batch.column(TEXT).slice(at, STEP))
+                for i, j in chunks(texts, SEGMENT):
+                    text, pos, gram, context = anchors(texts[i:j], unit, window, k)
+                    base = docs.add(ids[at + i : at + j], th[at + i : at + j])
+                    held.append(((text + base).astype(np.uint32), pos.astype(np.uint32), gram, context))
+                    n += len(text)
+                    if n >= flush:
+                        yield from flushed(docs, held)
+                        docs, held, n = Docs(), [], 0
         yield from flushed(docs, held)
 
     def flushed(docs: Docs, held: list[tuple]) -> Iterator[tuple]:
@@ -217,7 +222,7 @@ def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: i
         held.clear()
         table = docs.arrays()
         o, later = settled(table, doc, gram, context)
-        yield from dealt("s", table[2][doc[o[later]]], table, doc[o[later]], p=pos[o[later]])
+        yield from dealt("s", table[1][doc[o[later]]] % buckets, table, doc[o[later]], p=pos[o[later]])
         o = o[~later]
         yield from dealt("a", ((gram[o] * np.uint64(buckets)) >> np.uint64(48)).astype(np.int32), table, doc[o], k_up=gram[o], c=(context[o]), p=pos[o])
 
@@ -238,7 +243,7 @@ def table_of(rows: Iterator[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def meet_anchors(rows: pa.Table) -> pa.Table:
+def meet_anchors(rows: pa.Table, buckets: int) -> pa.Table:
     """First and second digit: places whose whole context repeats (s), and places to look at window by window (q)."""
 
     def out() -> Iterator[tuple]:
@@ -257,8 +262,8 @@ def meet_anchors(rows: pa.Table) -> pa.Table:
         several &= np.add.reduceat(new, begin) > 1
         asked = o[np.repeat(several, size) & ~later]
         later = o[later]
-        yield from dealt("s", docs[2][doc[later]], docs, doc[later], p=pos[later])
-        yield from dealt("q", docs[2][doc[asked]], docs, doc[asked], p=pos[asked])
+        yield from dealt("s", docs[1][doc[later]] % buckets, docs, doc[later], p=pos[later])
+        yield from dealt("q", docs[1][doc[asked]] % buckets, docs, doc[asked], p=pos[asked])
 
     return table_of(out())
 
@@ -321,7 +326,7 @@ def send_windows(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: int
 
     def out() -> Iterator[tuple]:
         known = numbered(texts)
-        table = tuple(texts[c].to_numpy() for c in (ID, TH, B))
+        table = tuple(texts[c].to_numpy() for c in (ID, TH))
         raw = utf8(texts[TEXT])
         spans = context_spans(known, rows, unit_counts(raw, unit), window, k)
         docs, x = opened(blobs_of(rows, "q"))
@@ -345,12 +350,12 @@ def send_windows(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: int
             yield from dealt("w", bucket, table, doc[o], k_up=w[o], p=start[o])
         if spans:
             row, start, end = covered(*(np.concatenate(c) for c in zip(*spans, strict=True)))
-            yield from dealt("m", table[2][row], table, row, p=start.astype(np.uint32), e=end.astype(np.uint32))
+            yield from dealt("m", table[1][row] % buckets, table, row, p=start.astype(np.uint32), e=end.astype(np.uint32))
 
     return table_of(out())
 
 
-def meet_windows(rows: pa.Table, window: int) -> pa.Table:
+def meet_windows(rows: pa.Table, window: int, buckets: int) -> pa.Table:
     """Third digit: windows that also start in a smaller document."""
 
     def out() -> Iterator[tuple]:
@@ -360,7 +365,7 @@ def meet_windows(rows: pa.Table, window: int) -> pa.Table:
             doc, start = x["d"], x["p"]
             o, later = settled(docs, doc, x["k_up"], None)
             o = o[later]
-            yield from dealt("m", docs[2][doc[o]], docs, doc[o], p=start[o], e=start[o] + np.uint32(window))
+            yield from dealt("m", docs[1][doc[o]] % buckets, docs, doc[o], p=start[o], e=start[o] + np.uint32(window))
 
     return table_of(out())
 
@@ -424,12 +429,13 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, *, unit: str, wi
     buckets = bucket_count(docs, F.col(f"`{text_col}`"), bucket_bytes)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)).cast("long"))
-    own = [key.alias(ID), F.xxhash64(text).alias(TH), F.pmod(F.xxhash64(key, text), F.lit(buckets)).cast("int").alias(B), text.alias(TEXT)]
-    whole = docs.select(*(F.col(f"`{f.name}`") for f in fields), *own)
+    th = F.xxhash64(text, key).bitwiseAND(F.lit(0xFFFFFFFF))
+    own = [key.alias(ID), th.alias(TH), text.alias(TEXT)]
+    whole = docs.select(*(F.col(f"`{f.name}`") for f in fields), *own, F.pmod(th, F.lit(buckets)).cast("int").alias(B))
     how = {"unit": unit, "window": window, "k": k}
     sent = docs.select(*own).mapInArrow(partial(send_anchors, buckets=buckets, flush=flush, **how), WIRE)
-    met = sent.groupBy("bucket").applyInArrow(one(meet_anchors), WIRE)
+    met = sent.groupBy("bucket").applyInArrow(one(meet_anchors, buckets=buckets), WIRE)
     asked = whole.groupBy(B).cogroup(met.groupBy("bucket")).applyInArrow(two(send_windows, buckets=buckets, **how), WIRE)
-    spans = asked.groupBy("bucket").applyInArrow(one(meet_windows, window=window), WIRE)
+    spans = asked.groupBy("bucket").applyInArrow(one(meet_windows, window=window, buckets=buckets), WIRE)
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), adds])
     return whole.groupBy(B).cogroup(spans.groupBy("bucket")).applyInArrow(two(finish_texts, finish=finish, names=[*(f.name for f in fields), *added], **how), shape)
