@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .textkit import PAD_BYTE, chunks, gram_hashes, lift, mix, pack, prefix_sums, runs, slice_hashes, spread, unpack, utf8, window_min, word_hashes, words
 
@@ -424,7 +425,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, *, unit: str, wi
     """
     if not 0 < k < window:
         raise ValueError("k must lie between 1 and window - 1")
-    added = [x.strip().split(" ")[0] for x in adds.split(",")]
+    added = StructType.fromDDL(adds).fieldNames()
     fields = [f for f in docs.schema.fields if (keep or f.name == id_col) and f.name.lower() not in {a.lower() for a in added} and not f.name.startswith("__w_")]
     buckets = bucket_count(docs, F.col(f"`{text_col}`"), bucket_bytes)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
