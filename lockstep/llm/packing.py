@@ -36,24 +36,31 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> tuple[list[tuple[
                 del left[n]
                 sizes.pop(bisect_left(sizes, n))
 
-    i = len(sizes) - 1
-    while i >= 0:
-        j = sizes[i]
-        room = capacity - j
-        least = sizes[0] if len(sizes) > 1 or left[j] > 1 else capacity + 1
-        if least > room or (sizes[0] == j and left[j] == 1):
-            take([j], left[j])
-        elif room in left and (room != j or left[j] > 1):
-            take([j, room], left[j] // 2 if room == j else min(left[j], left[room]))
-        else:
-            two = 2 * least if left[least] > 1 + (least == j) else least + (sizes[1] if len(sizes) > 1 else capacity)
-            if two > room:
+    def others(j: int) -> list[int]:
+        """The two shortest items beside one of length j."""
+        return [n for n in sizes[:3] for _ in range(min(2, left[n] - (n == j)))][:2]
+
+    shrunk = True
+    while shrunk:
+        shrunk, i = False, len(sizes) - 1
+        while i >= 0:
+            j = sizes[i]
+            room, least = capacity - j, others(j)
+            times = lambda k: left[j] // 2 if k == j else min(left[j], left[k])  # noqa: E731, B023
+            if not least or least[0] > room:
+                take([j], left[j])
+            elif room in left and (room != j or left[j] > 1):
+                take([j, room], times(room))
+            elif len(least) < 2 or sum(least) > room:
                 k = sizes[bisect_right(sizes, room) - 1]
-                take([j, k], left[j] // 2 if k == j else min(left[j], left[k]))
+                if k == j and left[j] == 1:
+                    k = sizes[i - 1]
+                take([j, k], times(k))
             else:
                 i -= 1
                 continue
-        i = min(bisect_right(sizes, j) - 1, len(sizes) - 1)
+            shrunk = True
+            i = min(bisect_right(sizes, j) - 1, len(sizes) - 1)
     return fixed, left
 
 
