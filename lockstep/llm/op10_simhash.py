@@ -83,7 +83,8 @@ def links(distinct: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     pos, mask = F.col("pos").cast("long"), F.col("col")
     side, bit = F.shiftright(pos, 5), pos.bitwiseAND(F.lit(31))
     value = F.when(side == 0, _half(fp, 0)).otherwise(_half(fp, 1)).bitwiseAND(mask)
-    keys = distinct.select("fp", _each(ONE + ONE)).select("fp", value.bitwiseOR(F.shiftleft(side, 38)).bitwiseOR(F.shiftleft(bit, 32)).alias("key"))
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # each row becomes 64
+    keys = spread.select("fp", _each(ONE + ONE)).select("fp", value.bitwiseOR(F.shiftleft(side, 38)).bitwiseOR(F.shiftleft(bit, 32)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     hits = saved(keys.join(shared, "key"), "hits")
     groups = hits.where(F.col("n") <= pairwise).groupBy("key").agg(F.collect_list("fp").alias("all"))
