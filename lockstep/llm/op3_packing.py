@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,8 @@ from .packing import pack
 from .shared import saved
 
 CAPACITY, END = 2048, 0
-#: Parts of texts, and words, whose ids a Python worker remembers; beyond that it starts afresh.
-PARTS, WORDS = 300_000, 700_000
+#: Parts of texts, and words, whose ids a Python worker remembers, in each of two generations.
+PARTS, WORDS = 100_000, 150_000
 #: Pieces of about so many rows are numbered together.
 NUMBERED = 50_000
 _STOP = "\x01"
@@ -29,17 +28,37 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _encoded(words: list[str], tokenizer: object) -> Iterator[bytes]:
-    """Ids of each word. Many go through the tokenizer as one text, with a sign between them that has an id of its own."""
+def _letters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary's words: itself if it can be printed, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(rest)) for b in range(256)}
+
+
+def _whole(word: str) -> bool:
+    """Whether the tokenizer neither changes the word (beyond ASCII case) nor parts it: letters below U+0180, in lower case if they aren't ASCII."""
+    return word.isalpha() and (word.isascii() or (word.islower() and max(word) < "\u0180"))
+
+
+def _encoded(words: list[str], tokenizer: object) -> dict[str, bytes]:
+    """Ids of each word. Plain words go to the model at once; others through the whole tokenizer, many as one text, with a sign between them that has an id of its own."""
+    model, letters = tokenizer.model, _letters()
+    out, rest = {}, []
+    for w in words:
+        if _whole(w):
+            out[w] = b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(w.lower() if w.isascii() else w.encode().decode("latin-1").translate(letters)))
+        else:
+            rest.append(w)
     stop = tokenizer.encode(_STOP, add_special_tokens=False).ids
-    for a in range(0, len(words), 1000):
-        some = words[a : a + 1000]
+    for a in range(0, len(rest), 1000):
+        some = rest[a : a + 1000]
         ids = np.array(tokenizer.encode(f" {_STOP} ".join(some), add_special_tokens=False).ids, "<u4")
         cuts = np.flatnonzero(ids == stop[0]) if len(stop) == 1 else np.zeros(0, int)
         if len(cuts) == len(some) - 1:
-            yield from (ids[x:z].tobytes() for x, z in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True))
+            out.update((w, ids[x:z].tobytes()) for w, x, z in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True))
         else:  # a word holds the sign
-            yield from (np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in some)
+            out.update((w, np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in some)
+    return out
 
 
 def _base(part: str) -> tuple[str, str]:
@@ -52,30 +71,43 @@ def _base(part: str) -> tuple[str, str]:
     return (first + word[1:], tail) if len(first) == 1 else (part, "")
 
 
+class _Recent:
+    """Ids of what was looked up of late: once `limit` entries are new, those not asked for since the time before go."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys without ids; the others are kept on."""
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        lost = []
+        for k in keys - self.new.keys():
+            v = self.old.get(k)
+            if v is None:
+                lost.append(k)
+            else:
+                self.new[k] = v
+        return lost
+
+
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids (unsigned, little-endian, 32 bits). The vocabulary drops white space, so a text's ids are those of its parts between blanks."""
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {}, {})
+        _TOKENIZERS[path] = (Tokenizer.from_file(path), _Recent(PARTS), _Recent(WORDS))
     tokenizer, known, words = _TOKENIZERS[path]
     parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    new = set(filterfalse(known.__contains__, chain.from_iterable(parts)))
+    new = known.missing(set().union(*parts))
     if new:
-        if len(known) + len(new) > PARTS:
-            known.clear()
-            new = set(chain.from_iterable(parts))
-        if len(words) > WORDS:
-            words.clear()
         bases = [(p, *_base(p)) for p in new]
-        missing = {".", ","}.union(b for _, b, _ in bases) - words.keys()
-        if missing:
-            missing = list(missing)
-            words.update(zip(missing, _encoded(missing, tokenizer), strict=True))
-        ends = {"": b"", ".": words["."], ",": words[","]}
-        for part, base, tail in bases:
-            known[part] = words[base] + ends[tail]
-    get = known.__getitem__
+        lost = words.missing({".", ","}.union(b for _, b, _ in bases))
+        words.new.update(_encoded(lost, tokenizer))
+        ids = words.new
+        ends = {"": b"", ".": ids["."], ",": ids[","]}
+        known.new.update((part, ids[base] + ends[tail]) for part, base, tail in bases)
+    get = known.new.__getitem__
     return [b"".join(map(get, p)) for p in parts]
 
 

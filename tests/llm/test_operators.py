@@ -192,7 +192,7 @@ def test_tokens_of_odd_texts():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
-    odd = ["", " ", "A.B, c!d", "I İstanbul ŁÓDŹ.", "don't stop,", "x\x01y \x01 z", "10,000.50 $%&", " nbsp em\x0bvt\x0cff\x85nel", "ﬁne Ⅳ ½", "日本語 テスト。", "été.", "ab...", ".,", "<|endoftext|> a</w>", "🙂🙂 ok", "ß ẞ Σας ΣΑΣ."]
+    odd = ["", " ", "A.B, c!d", "I İstanbul ŁÓDŹ.", "don't stop,", "x\x01y \x01 z", "10,000.50 $%&", " nbsp em\x0bvt\x0cff\x85nel", "ﬁne Ⅳ ½", "日本語 テスト。", "été.", "ab...", ".,", "<|endoftext|> a</w>", "🙂🙂 ok", "ß ẞ Σας ΣΑΣ.", "naïve NAÏVE Größe ŝercó ĳsje ŉ ªº µm ſtraße", "ALLCAPS MiXeD. WORDy, ÀÉ", "e\u0301te\u0301", "\ufeffbom", "straße\u00ad", "word's 'tis we'll", "ĿL ǆ ƀ"]
     for t, raw in zip(odd, token_bytes(odd, vocabulary()), strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
