@@ -7,15 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .packing import pack
 from .shared import saved
+from .textkit import spread
 
 CAPACITY, END = 2048, 0
 #: Parts of texts, and words, whose ids a Python worker remembers, in each of two generations.
 PARTS, WORDS = 100_000, 150_000
+#: Bytes of texts, about, that are tokenised together.
+SLICE = 2_000_000
 #: Pieces of about so many rows are numbered together.
 NUMBERED = 50_000
 _STOP = "\x01"
@@ -91,15 +95,20 @@ class _Recent:
         return lost
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids (unsigned, little-endian, 32 bits). The vocabulary drops white space, so a text's ids are those of its parts between blanks."""
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts (unsigned, little-endian, 32 bits), and where each text's begin and the last one's end.
+
+    The vocabulary drops white space, so a text's ids are those of its parts between blanks. Distinct parts are looked up once for all texts.
+    """
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
         _TOKENIZERS[path] = (Tokenizer.from_file(path), _Recent(PARTS), _Recent(WORDS))
     tokenizer, known, words = _TOKENIZERS[path]
-    parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    new = known.missing(set().union(*parts))
+    split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    coded = split.flatten().dictionary_encode()
+    parts = coded.dictionary.to_pylist()
+    new = known.missing(set(parts))
     if new:
         bases = [(p, *_base(p)) for p in new]
         lost = words.missing({".", ","}.union(b for _, b, _ in bases))
@@ -107,8 +116,12 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
         ids = words.new
         ends = {"": b"", ".": ids["."], ",": ids[","]}
         known.new.update((part, ids[base] + ends[tail]) for part, base, tail in bases)
-    get = known.new.__getitem__
-    return [b"".join(map(get, p)) for p in parts]
+    raw = [known.new[p] for p in parts]
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    begin, at = np.cumsum(size) - size, coded.indices.to_numpy(zero_copy_only=False)
+    owner, nth = spread(size[at])
+    bounds = np.concatenate([[0], np.cumsum(size[at])])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+    return np.frombuffer(b"".join(raw), "<u4")[begin[at][owner] + nth], bounds
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, *, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -118,19 +131,17 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, *, tokenizer: str, capac
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0), b.column(1)
-            values = [x or "" for x in texts.to_pylist()]
-            a = 0
-            while a < len(values):
-                z, held = a, 0
-                while z < len(values) and held < 2_000_000:
-                    held += len(values[z])
-                    z += 1
+            size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // SLICE, prepend=0)) + 1
+            bounds_of = sorted({0, *cuts.tolist(), len(texts)})
+            for a, z in zip(bounds_of[:-1], bounds_of[1:], strict=True):
                 owner, number, length, crc, raw = [], [], [], [], []
-                for k, t in enumerate(token_bytes(values[a:z], tokenizer), a):
-                    t += end
+                tokens, bounds = token_ids(texts.slice(a, z - a), tokenizer)
+                for k in range(z - a):
+                    t = tokens[bounds[k] : bounds[k + 1]].tobytes() + end
                     for p, s in enumerate(range(0, len(t), width)):
                         part = t[s : s + width]
-                        owner.append(k)
+                        owner.append(a + k)
                         number.append(p)
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
@@ -143,7 +154,6 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, *, tokenizer: str, capac
                     columns.append(pa.array(raw, pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
-                a = z
 
     schema = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(mapped, schema)

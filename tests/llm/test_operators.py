@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,7 @@ from lockstep.llm import op5_toxicity, op6_language, op8_decontamination
 from lockstep.llm.components import components
 from lockstep.llm.op1_quotes import conversations
 from lockstep.llm.op2_suffix_dedup import op2_suffix_dedup, suffix_dedup
-from lockstep.llm.op3_packing import op3_packing, packed, token_bytes, vocabulary
+from lockstep.llm.op3_packing import op3_packing, packed, token_ids, vocabulary
 from lockstep.llm.op4_quality import POLICIES, ablations, judged, ledger, op4_quality
 from lockstep.llm.op7_licenses import scan_licenses
 from lockstep.llm.op8_decontamination import align, contaminated, decontaminate
@@ -193,8 +194,9 @@ def test_tokens_of_odd_texts():
 
     tokenizer = Tokenizer.from_file(vocabulary())
     odd = ["", " ", "A.B, c!d", "I İstanbul ŁÓDŹ.", "don't stop,", "x\x01y \x01 z", "10,000.50 $%&", " nbsp em\x0bvt\x0cff\x85nel", "ﬁne Ⅳ ½", "日本語 テスト。", "été.", "ab...", ".,", "<|endoftext|> a</w>", "🙂🙂 ok", "ß ẞ Σας ΣΑΣ.", "naïve NAÏVE Größe ŝercó ĳsje ŉ ªº µm ſtraße", "ALLCAPS MiXeD. WORDy, ÀÉ", "e\u0301te\u0301", "\ufeffbom", "straße\u00ad", "word's 'tis we'll", "ĿL ǆ ƀ"]
-    for t, raw in zip(odd, token_bytes(odd, vocabulary()), strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    ids, bounds = token_ids(pa.array([None, *odd]).slice(1), vocabulary())
+    for t, a, z in zip(odd, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:z].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_op3_at_the_edges(spark, odd):
