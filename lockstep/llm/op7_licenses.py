@@ -53,8 +53,8 @@ def weights(docs: DataFrame, text: Column) -> tuple[dict[str, float], int]:
     return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in VOCABULARY}, n
 
 
-def own_licenses(files: DataFrame, key: str, path: str, text: str, least: float = LEAST_COSINE) -> DataFrame:
-    """(key, line, license, cosine): the best template of each line that has a mark, from `least` on."""
+def own_licenses(files: DataFrame, key: str, text: str, least: float = LEAST_COSINE) -> DataFrame:
+    """(key, line, license, cosine): the best template of each line that has a mark, from `least` on. Repeated rows only scale a line's counts, which the cosine doesn't see."""
     body = F.coalesce(F.col(text), F.lit(""))
     idf, n = weights(files, body)
     rare = math.log(1 + n) + 1
@@ -85,11 +85,11 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     (ties: the smallest path). A file without its own inherits from the nearest directory above it that has one.
 
     Inheritance is settled for each distinct directory and joined to the files by path, so the root, which all files share, isn't expanded by file. Repeated
-    paths count as one file each, with what any of them declares; null texts are empty; a null path gets its own licence and inherits nothing. Other columns aren't returned.
+    paths count as one file each, with what any of them declares; null texts are empty; a null path gets its own licence and inherits nothing; word frequencies count every row. Other columns aren't returned.
     """
     slim = files.select(F.col(f"`{path_col}`").cast("string").alias("path"), F.col(f"`{text_col}`").cast("string").alias("text"), (F.element_at(F.split(F.col(f"`{path_col}`"), "/"), -1).rlike(NAMES) if declares is None else declares).alias("declares"))
     slim = slim.withColumn("file", F.struct(F.coalesce("path", F.lit("")).alias("p"), F.xxhash64("text").alias("t"), F.col("path").isNull().alias("z")))
-    lines = saved(own_licenses(slim.select("file", "path", "text").dropDuplicates(["file"]), "file", "path", "text", least), "licenses")
+    lines = saved(own_licenses(slim.select("file", "text"), "file", "text", least), "licenses")
     own = lines.groupBy("file").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", -F.col("line"))).alias("b"), F.count("*").alias("n_headers")).select("file", "b.*", "n_headers")
     known = slim.select("path", "declares", "file", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")).alias("dir")).join(own, "file", "left")
     given = known.where(F.col("declares") & F.col("license").isNotNull() & F.col("dir").isNotNull()).groupBy("dir").agg(F.max_by("license", F.struct("cosine", F.hash("path"))).alias("dir_license"))
