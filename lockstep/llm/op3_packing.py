@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .packing import pack
 from .shared import saved
-from .textkit import spread
+from .textkit import lean, spread
 
 CAPACITY, END = 2048, 0
 #: Parts of texts, and words, whose ids a Python worker remembers, in each of two generations.
@@ -129,6 +129,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, *, tokenizer: str, capac
     end, width = np.array([END], "<u4").tobytes(), 4 * capacity
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

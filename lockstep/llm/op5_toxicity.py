@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import chunks, lift, pack, prefix_sums, slice_hashes, unpack, utf8
+from .textkit import chunks, lean, lift, pack, prefix_sums, slice_hashes, unpack, utf8
 from .op8_decontamination import normal_words
 
 FOLDS, HELD_OUT, LEAST_SCORE = 4, 2, 0.3
@@ -231,6 +231,7 @@ def scored(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: s
     slim = at, model.weights[at], model.bias
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         own = restored(*slim)
         for b in batches:
             score = own.score(utf8(b.column(2)))
@@ -248,6 +249,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     slim, place = (at, model.weights[at], model.bias), docs.columns.index(text_col)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         own = restored(*slim)
         for b in batches:
             yield b.filter(pa.array(own.score(utf8(b.column(place))) < least_score))

@@ -7,7 +7,9 @@ base's inverse, is the hash of any slice at the cost of two reads.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,18 @@ _SYMBOLS = np.random.RandomState(20240229).randint(1, 2**63, 256, dtype=np.int64
 _POWERS: dict[str, np.ndarray] = {}
 
 
+_LEAN: list[bool] = []
+
+
+def lean() -> None:
+    """Has this worker process give arrays back to the system as they are freed; else a reused worker keeps the most it ever held. Only the GNU allocator knows the setting."""
+    if not _LEAN:
+        _LEAN.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "mallopt"):
+            ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+
+
 def _grow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS["up"]) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())

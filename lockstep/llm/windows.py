@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .textkit import PAD_BYTE, chunks, gram_hashes, lift, mix, pack, prefix_sums, runs, slice_hashes, spread, unpack, utf8, window_min, word_hashes, words
+from .textkit import PAD_BYTE, chunks, gram_hashes, lean, lift, mix, pack, prefix_sums, runs, slice_hashes, spread, unpack, utf8, window_min, word_hashes, words
 
 #: Text bytes of a bucket, and the fewest buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 48
+BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 48
 #: Anchors or windows that a task holds before it sorts and sends them.
 FLUSH = 500_000
 #: Rows taken from a batch at once, and units hashed at once.
@@ -199,6 +199,7 @@ def settled(docs: tuple[np.ndarray, ...], doc: np.ndarray, key: np.ndarray, cont
 
 def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: int, buckets: int, flush: int) -> Iterator[pa.RecordBatch]:
     """First pass, on the map side."""
+    lean()
 
     def rows() -> Iterator[tuple]:
         docs, held, n = Docs(), [], 0
@@ -396,6 +397,7 @@ def one(f: Callable[..., pa.Table], **fixed: object) -> Callable:
     """f with some arguments fixed, as applyInArrow wants it."""
 
     def call(table: pa.Table) -> pa.Table:
+        lean()
         return f(table, **fixed)
 
     return call
@@ -403,6 +405,7 @@ def one(f: Callable[..., pa.Table], **fixed: object) -> Callable:
 
 def two(f: Callable[..., pa.Table], **fixed: object) -> Callable:
     def call(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         return f(left, right, **fixed)
 
     return call
