@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 from .textkit import PAD_BYTE, chunks, gram_hashes, lean, lift, mix, pack, prefix_sums, runs, slice_hashes, spread, unpack, utf8, window_min, word_hashes, words
 
 #: Text bytes of a bucket, and the fewest buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 6 << 20, 48
+BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 48
 #: Anchors or windows that a task holds before it sorts and sends them.
 FLUSH = 500_000
 #: Rows taken from a batch at once, and units hashed at once.
@@ -197,7 +197,32 @@ def settled(docs: tuple[np.ndarray, ...], doc: np.ndarray, key: np.ndarray, cont
     return o, ids[o] > least
 
 
-def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: int, buckets: int, flush: int) -> Iterator[pa.RecordBatch]:
+#: Equal shares into which anchors' keys are parted, as a power of two, and parts of a share.
+SHARES, PARTS = 12, 15
+
+
+def knots(w: int) -> np.ndarray:
+    """48-bit keys between which equal shares of anchors lie, if an anchor is the least of w hashes.
+
+    A hash u (from 0 to 1) is the least in one of the w windows around it with chance (1 - u)**(w - 1) * (1 + (w - 1) * u), so small keys are many; this inverts the integral.
+    """
+    u = 1 - (1 - np.linspace(0, 1, 1 << 16)) ** (1 / w)
+    q = (1 - u) ** w
+    below = (w + 1) / 2 * ((1 - q) / w + (w - 1) * ((1 - q * (1 - u)) / (w * (w + 1)) - u * q / w))
+    out = (np.interp(np.linspace(0, 1, (1 << SHARES) + 1), below, u) * (1 << 48)).astype(np.uint64)
+    out[0], out[-1] = 0, 1 << 48
+    return out
+
+
+def bucket_of(key: np.ndarray, edges: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of keys that hold about as many anchors each; in whole numbers, so the same wherever it is computed."""
+    share = np.searchsorted(edges, key, "right") - 1
+    low = edges[share]
+    part = ((key - low) << np.uint64(PARTS)) // (edges[share + 1] - low)
+    return ((((share.astype(np.uint64) << np.uint64(PARTS)) + part) * np.uint64(buckets)) >> np.uint64(SHARES + PARTS)).astype(np.int32)
+
+
+def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: int, buckets: int, flush: int, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
     """First pass, on the map side."""
     lean()
 
@@ -226,7 +251,7 @@ def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: i
         o, later = settled(table, doc, gram, context)
         yield from dealt("s", table[1][doc[o[later]]] % buckets, table, doc[o[later]], p=pos[o[later]])
         o = o[~later]
-        yield from dealt("a", ((gram[o] * np.uint64(buckets)) >> np.uint64(48)).astype(np.int32), table, doc[o], k_up=gram[o], c=(context[o]), p=pos[o])
+        yield from dealt("a", bucket_of(gram[o], edges, buckets), table, doc[o], k_up=gram[o], c=(context[o]), p=pos[o])
 
     return wire(rows())
 
@@ -437,7 +462,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, *, unit: str, wi
     own = [key.alias(ID), th.alias(TH), text.alias(TEXT)]
     whole = docs.select(*(F.col(f"`{f.name}`") for f in fields), *own, F.pmod(th, F.lit(buckets)).cast("int").alias(B))
     how = {"unit": unit, "window": window, "k": k}
-    sent = docs.select(*own).mapInArrow(partial(send_anchors, buckets=buckets, flush=flush, **how), WIRE)
+    sent = docs.select(*own).mapInArrow(partial(send_anchors, buckets=buckets, flush=flush, edges=knots(window - k + 1), **how), WIRE)
     met = sent.groupBy("bucket").applyInArrow(one(meet_anchors, buckets=buckets), WIRE)
     asked = whole.groupBy(B).cogroup(met.groupBy("bucket")).applyInArrow(two(send_windows, buckets=buckets, **how), WIRE)
     spans = asked.groupBy("bucket").applyInArrow(one(meet_windows, window=window, buckets=buckets), WIRE)
