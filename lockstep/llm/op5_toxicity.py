@@ -156,7 +156,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray, int]], weight: np.ndarray,
         bias = float(np.log((rate * n + 0.01) / ((1 - rate) * n + 0.99))) if n else -4.6
         return Toxicity(np.zeros(size, bool), np.zeros(size), bias, LabelModel())
     lengths = np.array([len(r[1]) for r in rows])
-    row, feature, count = np.repeat(np.arange(n), lengths), np.concatenate([r[1] for r in rows]).astype(np.int64), np.concatenate([r[2] for r in rows])
+    row, feature, count = np.repeat(np.arange(n, dtype=np.int32), lengths), np.concatenate([r[1] for r in rows]).astype(np.int32), np.concatenate([r[2] for r in rows])
     w = weight[row]
     pos, neg = (np.bincount(feature, w * (given[row] == y), size) for y in (1, 0))
     total = np.array([(weight * (given == y)).sum() for y in (1, 0)])
@@ -206,6 +206,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = SAMPLE) -> Toxicity:
     """Fits on labelled documents outside the held-out fold; of ids with several labels the greatest counts, and null labels don't."""
+    lean()
     own = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), (F.col(f"`{label_col}`") > 0).cast("int").alias("label"))
     own = own.where(~held_out(F.col("id"), FOLDS, HELD_OUT)).groupBy("id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
