@@ -213,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rate = {y: min(1.0, (sample if y else 2 * sample) / max(counts.get(y, 0), 1)) for y in (0, 1)}
     draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < F.when(F.col("label") == 1, F.lit(int(rate[1] * (1 << 30)))).otherwise(F.lit(int(rate[0] * (1 << 30))))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = texts.join(own.where(draw), "id").select("label", "text").mapInArrow(_features_of, "label int, blob binary").orderBy("label", F.xxhash64("blob")).collect()
+    # An id and a label for each sampled row: about 3 * sample rows whatever the tables' size, so texts needn't be shuffled to meet them.
+    rows = texts.join(F.broadcast(own.where(draw)), "id").select("label", "text").mapInArrow(_features_of, "label int, blob binary").orderBy("label", F.xxhash64("blob")).collect()
     parts = [(r["label"], (x := unpack(bytes(r["blob"])))["f"], x["c"], int(x["v"][0])) for r in rows]
     weight = np.array([1 / max(rate[p[0]], 1e-9) for p in parts])
     return fit(parts, weight / max(weight.mean(), 1e-9) if len(weight) else weight)
