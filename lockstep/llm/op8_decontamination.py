@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -67,7 +67,7 @@ class Seeds:
                 self.by_size[m] = gram, np.array([k for _, k, _ in some]), np.array([p for _, _, p in some]), seen
 
     def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Text, word position, item, place in the item and seed hash, for every seed in the texts."""
+        """Text, word position, item and place in the item, for every seed in the texts."""
         found = []
         for m, (gram, item, place, seen) in self.by_size.items():
             g = _grams(words, m)
@@ -80,8 +80,8 @@ class Seeds:
             at, a, count, text = at[within], a[within], count[within], text[within]
             owner, nth = spread(count)
             x = a[owner] + nth
-            found.append((text[owner], at[owner] - first[text[owner]], item[x], place[x], gram[x]))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
+            found.append((text[owner], at[owner] - first[text[owner]], item[x], place[x]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
@@ -124,11 +124,11 @@ def _regions(text: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarr
     return o, np.cumsum(new) - 1
 
 
-PASSAGE = "id bigint, item bigint, begin bigint, words array<bigint>, seeds array<bigint>"
+PASSAGE = "id bigint, item bigint, begin bigint, words array<bigint>"
 
 
 def passages(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int, bytes]], n: int) -> DataFrame:
-    """(id, item, begin, words, seeds): the stretches of documents around seeds of an item, as word hashes."""
+    """(id, item, begin, words): the stretches of documents around seeds of an item, as word hashes."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds(items, n)
@@ -140,7 +140,7 @@ def passages(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int,
             for i, j in chunks(texts):
                 buffer, start, end, first = normal_words(texts[i:j])
                 words = word_hashes(buffer, start, end)
-                text, pos, item, place, gram = seeds.hits(words, first)
+                text, pos, item, place = seeds.hits(words, first)
                 if not len(text):
                     continue
                 slack = size[item] // 4 + 4
@@ -155,10 +155,9 @@ def passages(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int,
                     rows["item"].append(int(seeds.ids[item[x[0]]]))
                     rows["begin"].append(int(begin))
                     rows["words"].append(words[first[t] + begin : first[t] + high[x].max()].view(np.int64))
-                    rows["seeds"].append(np.unique(gram[x]).view(np.int64))
             if rows:
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in rows["id"]], pa.int64()), pa.array(rows["item"], pa.int64()), pa.array(rows["begin"], pa.int64()), pa.array(rows["words"], longs), pa.array(rows["seeds"], longs)], ["id", "item", "begin", "words", "seeds"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in rows["id"]], pa.int64()), pa.array(rows["item"], pa.int64()), pa.array(rows["begin"], pa.int64()), pa.array(rows["words"], longs)], ["id", "item", "begin", "words"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(mapped, PASSAGE)
 
@@ -200,10 +199,8 @@ def blocks(items: DataFrame, item_col: str, text_col: str, limit: int) -> Iterat
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, seed_words: int = SEED_WORDS, least_score: float = LEAST_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id_col, item_col, score, first_word, end_word) for each document and test item of which it holds a copy.
 
-    Every run of `seed_words` words of an item is looked up in every document. Document frequencies of the seeds found, over all documents, say
-    which are rare: an item's seeds up to the median frequency of those found (so each item keeps at least half of them, and a copy in many documents
-    hides no item). Passages with a rare seed are aligned with the item, one edit or more
-    between seeds allowed: a match counts 1, a mismatch or a gap -0.5, and a score of `least_score` times the item's words makes a copy.
+    Every run of `seed_words` words of an item is looked up in every document, and every passage with a seed is aligned with the item, however common the
+    seed is: a copy in many documents hides neither an item nor an edited copy. One edit or more between seeds is allowed: a match counts 1, a mismatch or a gap -0.5, and a score of `least_score` times the item's words makes a copy.
     score is that share; the words first_word to end_word of the document are the aligned ones, in its best passage.
 
     Items are held in blocks of `block_bytes`, and each block takes a pass over the documents. An item of fewer words than a seed is its own seed; an item
@@ -214,13 +211,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     out = spark.createDataFrame([], f"`{id_col}` bigint, `{item_col}` bigint, score double, first_word bigint, end_word bigint")
     for block in blocks(items, item_col, item_text_col, block_bytes):
         found = saved(passages(docs, id_col, text_col, block, seed_words), "passages")
-        single = found.select("id", "item", "begin", F.explode("seeds").alias("seed"))
-        frequency = single.groupBy("item", "seed").agg(F.count_distinct("id").alias("df"))
-        median = frequency.groupBy("item").agg(F.percentile("df", F.lit(0.5)).alias("most"))
-        rare = frequency.join(median, "item").where("df <= most").select("item", "seed")
-        chosen = single.join(rare, ["item", "seed"]).select("id", "item", "begin").distinct()
-        candidates = found.alias("f").join(chosen.alias("c"), (F.expr("f.id <=> c.id")) & (F.expr("f.item = c.item")) & (F.expr("f.begin = c.begin")), "left_semi")
-        best = scored(candidates, block).where(F.col("score") >= least_score).groupBy("id", "item").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("b"))
+        best = scored(found, block).where(F.col("score") >= least_score).groupBy("id", "item").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("b"))
         out = out.union(best.select(F.col("id"), F.col("item"), "b.score", "b.first_word", "b.end_word"))
     return out
 

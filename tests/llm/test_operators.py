@@ -349,6 +349,15 @@ def test_contaminated(spark):
     assert contaminated(x.limit(0), y).count() == contaminated(x, y.limit(0)).count() == 0
 
 
+def test_edited_copy_beside_an_exact_one(spark):
+    item = [f"v{k}" for k in range(40)]
+    edited = [f"x{k}" if k % 7 == 6 else w for k, w in enumerate(item)]
+    x = frame(spark, [(1, " ".join(["a", *item])), (2, " ".join(["b", *edited])), (3, "nothing of it")])
+    y = spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in contaminated(x, y).collect()}
+    assert got == {1: 1.0, 2: pytest.approx((35 - 5 * 0.5) / 40)}
+
+
 @tables
 def test_op8_finds_whole_items(spark, texts):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
