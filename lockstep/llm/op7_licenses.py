@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .shared import saved
 
 LEAST_COSINE = 0.6
+#: A word that one of so many texts holds is common.
+COMMON = 1000
 #: Short wordings that head files. Each is a fixed part of the scanner, so joins with them have a bounded side.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0"),
@@ -44,35 +46,37 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN.pattern})"), F.lit(1))
 
 
-def weights(docs: DataFrame, text: Column) -> tuple[dict[str, float], int]:
-    """Inverse document frequency of each word of the templates, from every whole text. At most the vocabulary comes to the driver."""
-    known = F.array(*[F.lit(w) for w in VOCABULARY])
-    counts = docs.select(F.explode(F.array_intersect(F.split(F.lower(text), r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\."), known)).alias("w")).groupBy("w").count().collect()
-    n = docs.count()
-    df = {r["w"]: r["count"] for r in counts}
-    return {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in VOCABULARY}, n
+def frequencies(docs: DataFrame, text: Column, words: DataFrame) -> DataFrame:
+    """(w, df): how many of all texts hold each of the words. Words are counted where they stand before they meet, so a common one makes no large task."""
+    return docs.select(F.explode(F.array_distinct(_tokens(text))).alias("w")).groupBy("w").agg(F.count("*").alias("df")).join(words.select("w").distinct(), "w", "left_semi")
 
 
 def own_licenses(files: DataFrame, key: str, text: str, least: float = LEAST_COSINE) -> DataFrame:
     """(key, line, license, cosine): the best template of each line that has a mark, from `least` on. Repeated rows only scale a line's counts, which the cosine doesn't see."""
     body = F.coalesce(F.col(text), F.lit(""))
-    idf, n = weights(files, body)
-    rare = math.log(1 + n) + 1
     spark = files.sparkSession
+    mark = r"(?i)\b(" + "|".join(MARKS) + r")\b"
+    lines = files.where(body.rlike(mark)).select(key, F.posexplode(F.split(body, "\n")).alias("line", "raw")).where(F.col("raw").rlike(mark))
+    terms = saved(lines.select(key, "line", F.explode(_tokens(F.col("raw"))).alias("w")).groupBy(key, "line", "w").agg(F.count("*").alias("tf")), "license-terms")
+    known = spark.createDataFrame([(w,) for w in VOCABULARY], "w string")
+    counts = saved(frequencies(files, body, terms.select("w").union(known)), "license-words")
+    n = files.count()
+    df = {r["w"]: r["df"] for r in counts.where(F.col("w").isin(VOCABULARY)).collect()}
+    idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in VOCABULARY}
     rows = []
     for name, forms in TEMPLATES.items():
         for k, form in enumerate(forms):
             tf = Counter(tokens(form))
             norm = math.sqrt(sum((c * idf[w]) ** 2 for w, c in tf.items()))
-            rows += [(w, name, k, c * idf[w] / norm) for w, c in sorted(tf.items())]
-    template = spark.createDataFrame(rows, "w string, license string, form int, weight double")
-    idf_of = spark.createDataFrame(sorted(idf.items()), "w string, idf double")
-    marked = files.where(body.rlike(r"(?i)\b(" + "|".join(MARKS) + r")\b"))
-    lines = marked.select(key, F.posexplode(F.split(body, "\n")).alias("line", "raw")).where(F.col("raw").rlike(r"(?i)\b(" + "|".join(MARKS) + r")\b"))
-    terms = lines.select(key, "line", F.explode(_tokens(F.col("raw"))).alias("w")).groupBy(key, "line", "w").agg(F.count("*").alias("tf"))
-    vectors = terms.join(F.broadcast(idf_of), "w", "left").select(key, "line", "w", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("x"))
+            rows += [(w, name, k, c * idf[w] / norm, idf[w]) for w, c in sorted(tf.items())]
+    template = spark.createDataFrame(rows, "w string, license string, form int, weight double, idf double")
+    # Words in a thousandth of the texts are a bounded number: broadcast, so that the shuffled join sees none that many lines have.
+    often = counts.where((F.col("df") * COMMON >= n) | F.col("w").isin(VOCABULARY))
+    seldom = counts.join(F.broadcast(often.select("w")), "w", "left_anti")
+    known_terms = terms.join(F.broadcast(often), "w").unionByName(terms.join(F.broadcast(often.select("w")), "w", "left_anti").join(seldom, "w"))
+    vectors = known_terms.select(key, "line", (F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("x"))
     norms = vectors.groupBy(key, "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = vectors.join(F.broadcast(template), "w").groupBy(key, "line", "license", "form").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    dots = terms.join(F.broadcast(template), "w").groupBy(key, "line", "license", "form").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
     scores = dots.join(norms, [key, "line"]).select(key, "line", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= least)
     return scores.groupBy(key, "line").agg(F.max_by(F.struct("license", "cosine"), F.struct("cosine", F.col("license"))).alias("b")).select(key, "line", "b.*")
 
@@ -85,7 +89,7 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     (ties: the smallest path). A file without its own inherits from the nearest directory above it that has one.
 
     Inheritance is settled for each distinct directory and joined to the files by path, so the root, which all files share, isn't expanded by file. Repeated
-    paths count as one file each, with what any of them declares; null texts are empty; a null path gets its own licence and inherits nothing; word frequencies count every row. Other columns aren't returned.
+    paths count as one file each, with what any of them declares; null texts are empty; a null path gets its own licence and inherits nothing; word frequencies count every row, for every word of a scored line. Other columns aren't returned.
     """
     slim = files.select(F.col(f"`{path_col}`").cast("string").alias("path"), F.col(f"`{text_col}`").cast("string").alias("text"), (F.element_at(F.split(F.col(f"`{path_col}`"), "/"), -1).rlike(NAMES) if declares is None else declares).alias("declares"))
     slim = slim.withColumn("file", F.struct(F.coalesce("path", F.lit("")).alias("p"), F.xxhash64("text").alias("t"), F.col("path").isNull().alias("z")))

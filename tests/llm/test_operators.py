@@ -409,3 +409,11 @@ def test_licences(spark):
     assert got["top.py"] == (None, "none", None)
     assert got[None] == ("MIT", "own", None)
     assert scan_licenses(x.limit(0)).count() == 0
+
+
+def test_common_words_beside_a_licence_weigh_little(spark):
+    header = "Released under the MIT License, see the readme of our package for more details and help"
+    plain = spark.range(2000).select(F.concat(F.lit("docs/"), "id").alias("path"), F.lit("see the readme of our package for more details and help").alias("text"))
+    x = plain.union(spark.createDataFrame([("a/x.py", header), ("a/y.py", "our license plate reader needs quartz glyphs")], "path string, text string"))
+    got = {r["path"]: r["license"] for r in scan_licenses(x).collect() if r["license"]}
+    assert got == {"a/x.py": "MIT"}
