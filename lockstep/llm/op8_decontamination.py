@@ -1,8 +1,7 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: pairs of rare seed words, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import saved
-from .textkit import chunks, mix, spread, utf8, word_hashes
+from .textkit import chunks, spread, utf8, word_hashes
 
-#: Words of a seed, and the alignment score (a share of the item's words) from which a passage counts as a copy.
+#: The least score of a copy: in matched words (the whole item if it has fewer), and as a share of the item's words.
 SEED_WORDS, LEAST_SCORE = 4, 0.5
 MISMATCH, GAP = 0.5, 0.5
+#: Seeds of an item that must stand near each other, and seed hits that are held together.
+TOGETHER = 4
+HITS = 1 << 21
 #: Benchmark bytes that one pass over the documents holds in each task; a larger benchmark takes several passes.
 BLOCK_BYTES = 8 << 20
 
@@ -39,49 +40,97 @@ def normal_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return buffer, edges[::2], edges[1::2], np.searchsorted(edges[::2], begins)
 
 
-def _grams(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words."""
-    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
-    for i in range(n):
-        out = mix(out + words[i : i + len(out)] + np.uint64(i + 1))
-    return out
-
+class Lookup:
+    """Which passages can hold a copy of an item of a block, by a condition that every copy meets.
 
-class Seeds:
-    """All seeds of a block of items: sorted hashes, and the items and places that have them."""
+    A score of `floor` needs as many matched words, so of an item's words any choice that leaves out `need` - k has k matched ones, k being at most `TOGETHER`.
+    The choice takes the rarest. Between the ends of a copy at most `room` words are inserted.
+    """
 
-    def __init__(self, items: list[tuple[int, bytes]], n: int) -> None:
+    def __init__(self, items: list[tuple[int, bytes]], n: int, least: float) -> None:
         buffer, start, end, first = normal_words([t for _, t in items])
         hashes = word_hashes(buffer, start, end)
-        self.ids = np.array([i for i, _ in items], np.int64)
+        self.ids = [i for i, _ in items]
         self.words = [hashes[first[k] : first[k + 1]] for k in range(len(items))]
-        found = [(g, len(w), k, p) for k, w in enumerate(self.words) if len(w) for m in [min(n, len(w))] for p, g in enumerate(_grams(w, m).tolist())]
-        sizes = {k: min(n, len(w)) for k, w in enumerate(self.words)}
-        self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
-        for m in range(1, n + 1):
-            some = sorted((g, k, p) for g, _, k, p in found if sizes[k] == m)
-            if some:
-                gram = np.array([g for g, _, _ in some], np.uint64)
-                seen = np.zeros(1 << 20, bool)
-                seen[(gram >> np.uint64(44)).astype(np.int64)] = True
-                self.by_size[m] = gram, np.array([k for _, k, _ in some]), np.array([p for _, _, p in some]), seen
-
-    def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Text, word position, item and place in the item, for every seed in the texts."""
-        found = []
-        for m, (gram, item, place, seen) in self.by_size.items():
-            g = _grams(words, m)
-            at = np.flatnonzero(seen[(g >> np.uint64(44)).astype(np.int64)])
-            a = np.searchsorted(gram, g[at])
-            count = np.searchsorted(gram, g[at], "right") - a
-            at, a, count = at[count > 0], a[count > 0], count[count > 0]
-            text = np.searchsorted(first, at, "right") - 1
-            within = at + m <= first[text + 1]
-            at, a, count, text = at[within], a[within], count[within], text[within]
-            owner, nth = spread(count)
-            x = a[owner] + nth
-            found.append((text[owner], at[owner] - first[text[owner]], item[x], place[x]))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.floor = np.maximum(least * self.size, np.minimum(self.size, n))
+        self.need = np.maximum(np.ceil(self.floor - 1e-9), 1).astype(np.int64)
+        self.together = np.minimum(self.need, TOGETHER)
+        self.room = np.maximum(np.floor((self.size - self.floor) / GAP + 1e-9), 0).astype(np.int64)
+        self.vocabulary = np.unique(hashes)
+        self.distinct = [np.unique(w, return_counts=True) for w in self.words]
+
+    def count(self, words: np.ndarray) -> np.ndarray:
+        """How often each word of the vocabulary stands in `words`."""
+        at = np.searchsorted(self.vocabulary, words)
+        at[at == len(self.vocabulary)] = 0
+        return np.bincount(at[self.vocabulary[at] == words], minlength=len(self.vocabulary))
+
+    def choose(self, frequency: np.ndarray) -> None:
+        """Takes each item's rarest words as seeds; `frequency` decides about the cost alone."""
+        seeds: dict[tuple[int, int], tuple[int, int]] = {}
+        for k, w in enumerate(self.words):
+            if 0 < self.need[k] <= len(w):
+                rank = np.argsort(frequency[np.searchsorted(self.vocabulary, w)], kind="stable")
+                for p in rank[: len(w) - self.need[k] + self.together[k]].tolist():
+                    near, far = seeds.get((int(w[p]), k), (p, p))
+                    seeds[int(w[p]), k] = min(near, p), max(far, p)
+        rows = sorted((g, k, *place) for (g, k), place in seeds.items())
+        self.seed = np.array([r[0] for r in rows], np.uint64)
+        self.item, self.near, self.far = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.seed >> np.uint64(44)).astype(np.int64)] = True
+
+    def regions(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Text, item, first word and end of each stretch of a text around seeds of an item."""
+        at = np.flatnonzero(self.seen[(words >> np.uint64(44)).astype(np.int64)])
+        a = np.searchsorted(self.seed, words[at])
+        count = np.searchsorted(self.seed, words[at], "right") - a
+        at, a, count = at[count > 0], a[count > 0], count[count > 0]
+        text = np.searchsorted(first, at, "right") - 1
+        done = 0
+        while done < len(at):
+            # A text's hits stay together.
+            stop = int(np.searchsorted(np.cumsum(count[done:]), HITS)) + done
+            stop = int(np.searchsorted(text, text[min(stop, len(at) - 1)])) if stop < len(at) else len(at)
+            stop = stop if stop > done else int(np.searchsorted(text, text[done], "right"))
+            owner, nth = spread(count[done:stop])
+            x = a[done:stop][owner] + nth
+            yield from self._near(text[done:stop][owner], at[done:stop][owner] - first[text[done:stop][owner]], x, np.diff(first))
+            done = stop
+
+    def hopeful(self, passage: np.ndarray, item: int) -> bool:
+        """False if no alignment can reach the score: too few of the item's words, each counted as often as both sides have it, or too many others between them."""
+        words, often = self.distinct[item]
+        at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+        same = words[at] == passage
+        if np.minimum(np.bincount(at[same], minlength=len(words)), often).sum() < self.need[item]:
+            return False
+        gain = np.zeros(len(passage) + 1)
+        np.cumsum(np.where(same, 1.0, -min(MISMATCH, GAP)), out=gain[1:])
+        return bool((gain - np.minimum.accumulate(gain)).max() >= self.floor[item] - 1e-9)
+
+    def _near(self, text: np.ndarray, pos: np.ndarray, x: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        o = np.lexsort((pos, self.item[x], text))
+        text, pos, x = text[o], pos[o], x[o]
+        item = self.item[x]
+        # Hit i and the last of the `together` hits from it on are of one text and item, and no further apart than the ends of a copy.
+        last = np.arange(len(o)) + self.together[item] - 1
+        ok = last < len(o)
+        last = np.minimum(last, len(o) - 1)
+        ok &= (text[last] == text) & (item[last] == item) & (pos[last] - pos < (self.size + self.room)[item])
+        cover = np.zeros(len(o) + 1, np.int64)
+        np.add.at(cover, np.flatnonzero(ok), 1)
+        np.add.at(cover, last[ok] + 1, -1)
+        keep = np.cumsum(cover[:-1]) > 0
+        text, pos, x, item = text[keep], pos[keep], x[keep], item[keep]
+        if not len(text):
+            return
+        low = np.maximum(pos - self.far[x] - self.room[item], 0)
+        high = np.minimum(pos - self.near[x] + self.size[item] + self.room[item], length[text])
+        o, group = _regions(text, item, low, high)
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        yield from zip(text[o][cuts].tolist(), item[o][cuts].tolist(), np.minimum.reduceat(low[o], cuts).tolist(), np.maximum.reduceat(high[o], cuts).tolist(), strict=True)
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
@@ -124,60 +173,49 @@ def _regions(text: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarr
     return o, np.cumsum(new) - 1
 
 
-PASSAGE = "id bigint, item bigint, begin bigint, words array<bigint>"
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def passages(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[int, bytes]], n: int) -> DataFrame:
-    """(id, item, begin, words): the stretches of documents around seeds of an item, as word hashes."""
+def frequencies(texts: DataFrame, look: Lookup) -> np.ndarray:
+    """How often each word of the items stands in all texts. At most a block's vocabulary comes to the driver."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = Seeds(items, n)
-        size = np.array([len(w) for w in seeds.words], np.int64)
+        total = np.zeros(len(look.vocabulary), np.int64)
         for b in batches:
-            ids = b.column(0)
-            texts = utf8(b.column(1))
-            rows: dict[str, list] = defaultdict(list)
-            for i, j in chunks(texts):
-                buffer, start, end, first = normal_words(texts[i:j])
-                words = word_hashes(buffer, start, end)
-                text, pos, item, place = seeds.hits(words, first)
-                if not len(text):
-                    continue
-                slack = size[item] // 4 + 4
-                low = np.maximum(pos - place - slack, 0)
-                high = np.minimum(pos - place + size[item] + slack, (first[text + 1] - first[text]))
-                o, group = _regions(text, item, low, high)
-                cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(o))
-                for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                    x = o[a:z]
-                    t, begin = text[x[0]], low[x].min()
-                    rows["id"].append(ids[i + int(t)])
-                    rows["item"].append(int(seeds.ids[item[x[0]]]))
-                    rows["begin"].append(int(begin))
-                    rows["words"].append(words[first[t] + begin : first[t] + high[x].max()].view(np.int64))
-            if rows:
-                longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in rows["id"]], pa.int64()), pa.array(rows["item"], pa.int64()), pa.array(rows["begin"], pa.int64()), pa.array(rows["words"], longs)], ["id", "item", "begin", "words"])
-
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(mapped, PASSAGE)
+            raw = utf8(b.column(1))
+            for i, j in chunks(raw):
+                total += look.count(word_hashes(*normal_words(raw[i:j])[:3]))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["word", "n"])
+
+    out = np.zeros(len(look.vocabulary), np.int64)
+    if len(out):
+        for r in texts.mapInArrow(mapped, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect():
+            out[r["word"]] = r["n"]
+    return out
 
 
-def scored(candidates: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
-    """The best alignment of each passage with its item."""
+def scored(texts: DataFrame, look: Lookup) -> DataFrame:
+    """(id, item, score, first_word, end_word): the best alignment of each passage that holds a copy."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = Seeds(items, 1)
-        words = dict(zip(seeds.ids.tolist(), seeds.words, strict=True))
         for b in batches:
-            score, begin, end = [], [], []
-            for item, at, passage in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                s, a, z = align(passage.values.to_numpy().view(np.uint64), words[item])
-                score.append(s / len(words[item]))
-                begin.append(at + a)
-                end.append(at + z)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["id", "item", "score", "first_word", "end_word"])
+            raw, rows = utf8(b.column(1)), []
+            for i, j in chunks(raw):
+                buffer, start, end, first = normal_words(raw[i:j])
+                words = word_hashes(buffer, start, end)
+                for text, item, low, high in look.regions(words, first):
+                    passage = words[first[text] + low : first[text] + high]
+                    if not look.hopeful(passage, item):
+                        continue
+                    s, a, z = align(passage, look.words[item])
+                    if s >= look.floor[item] - 1e-9:
+                        rows.append((b.column(0)[i + text].as_py(), look.ids[item], s / len(look.words[item]), low + a, low + z))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], ["id", "item", "score", "first_word", "end_word"])
 
-    return candidates.select("id", "item", "begin", "words").mapInArrow(mapped, "id bigint, item bigint, score double, first_word bigint, end_word bigint")
+    return texts.mapInArrow(mapped, "id bigint, item bigint, score double, first_word bigint, end_word bigint")
 
 
 def blocks(items: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -199,19 +237,22 @@ def blocks(items: DataFrame, item_col: str, text_col: str, limit: int) -> Iterat
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, seed_words: int = SEED_WORDS, least_score: float = LEAST_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id_col, item_col, score, first_word, end_word) for each document and test item of which it holds a copy.
 
-    Every run of `seed_words` words of an item is looked up in every document, and every passage with a seed is aligned with the item, however common the
-    seed is: a copy in many documents hides neither an item nor an edited copy. One edit or more between seeds is allowed: a match counts 1, a mismatch or a gap -0.5, and a score of `least_score` times the item's words makes a copy.
+    Every passage that can reach the score is aligned with the item, whatever its edits: of an item's rarest words (by their count in all documents) two must
+    stand near each other, and enough of its words in all. A match counts 1, a mismatch or a gap -0.5. A score of `least_score` times the item's words makes a copy,
+    and of `seed_words` at least (a shorter item must stand as a whole).
     score is that share; the words first_word to end_word of the document are the aligned ones, in its best passage.
 
-    Items are held in blocks of `block_bytes`, and each block takes a pass over the documents. An item of fewer words than a seed is its own seed; an item
+    Items are held in blocks of `block_bytes`, and each block takes a pass over the documents. An item
     without words matches nothing. Null texts are empty; rows with a null item are ignored; documents with a null id are reported with a null id. Of repeated item ids the
     greatest text counts. Repeated documents are reported once. Empty tables give no rows.
     """
     spark = docs.sparkSession
     out = spark.createDataFrame([], f"`{id_col}` bigint, `{item_col}` bigint, score double, first_word bigint, end_word bigint")
+    texts = _texts(docs, id_col, text_col)
     for block in blocks(items, item_col, item_text_col, block_bytes):
-        found = saved(passages(docs, id_col, text_col, block, seed_words), "passages")
-        best = scored(found, block).where(F.col("score") >= least_score).groupBy("id", "item").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("b"))
+        look = Lookup(block, seed_words, least_score)
+        look.choose(frequencies(texts, look))
+        best = scored(texts, look).groupBy("id", "item").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("b"))
         out = out.union(best.select(F.col("id"), F.col("item"), "b.score", "b.first_word", "b.end_word"))
     return out
 

@@ -358,6 +358,22 @@ def test_edited_copy_beside_an_exact_one(spark):
     assert got == {1: 1.0, 2: pytest.approx((35 - 5 * 0.5) / 40)}
 
 
+def test_copies_with_dense_edits(spark):
+    rng = random.Random(4)
+    item = [f"v{k}" for k in range(40)]
+    fourth = [f"x{k}" if k % 4 == 3 else w for k, w in enumerate(item)]
+    apart = [x for k, w in enumerate(item) for x in (w, f"y{k}")]
+    few = [[f"w{rng.randrange(9)}" for _ in range(12)] for _ in range(4)]
+    docs = [["a"] * 30 + fourth + ["b"] * 30, ["a"] * 30 + apart + ["b"] * 30] + [[f"w{rng.randrange(14)}" for _ in range(rng.randrange(30))] for _ in range(40)]
+    items = [item, *few]
+    x = frame(spark, [(i, " ".join(t)) for i, t in enumerate(docs)])
+    y = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in contaminated(x, y).collect()}
+    plain = {(i, k): plain_alignment(t, item) / len(item) for i, t in enumerate(docs) for k, item in enumerate(items)}
+    assert {(0, 0), (1, 0)} <= {*got}
+    assert got == pytest.approx({pair: s for pair, s in plain.items() if s >= 0.5})
+
+
 @tables
 def test_op8_finds_whole_items(spark, texts):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
