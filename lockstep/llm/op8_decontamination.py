@@ -219,11 +219,10 @@ def scored(texts: DataFrame, look: Lookup) -> DataFrame:
 
 
 def blocks(items: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The distinct items, block by block, each of at most `limit` bytes or one item; read one block at a time."""
-    slim = items.where(F.col(f"`{item_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("long").alias("item"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    slim = slim.groupBy("item").agg(F.max("text").alias("text"))
+    """The distinct (item, text), block by block, each of at most `limit` bytes or one item; read one block at a time."""
+    slim = items.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).distinct()
     held, size = [], 0
-    for r in slim.orderBy("item").toLocalIterator():
+    for r in slim.orderBy("item", "text").toLocalIterator():
         t = r["text"].encode()
         if held and size + len(t) > limit:
             yield held
@@ -243,8 +242,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     score is that share; the words first_word to end_word of the document are the aligned ones, in its best passage.
 
     Items are held in blocks of `block_bytes`, and each block takes a pass over the documents. An item
-    without words matches nothing. Null texts are empty; rows with a null item are ignored; documents with a null id are reported with a null id. Of repeated item ids the
-    greatest text counts. Repeated documents are reported once. Empty tables give no rows.
+    without words matches nothing. Null texts are empty; documents and items with a null id are reported with a null id. Of texts
+    that share an item id each is looked up, and the best passage of any of them is reported. Repeated documents are reported once. Empty tables give no rows.
     """
     spark = docs.sparkSession
     out = spark.createDataFrame([], f"`{id_col}` bigint, `{item_col}` bigint, score double, first_word bigint, end_word bigint")
@@ -252,9 +251,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     for block in blocks(items, item_col, item_text_col, block_bytes):
         look = Lookup(block, seed_words, least_score)
         look.choose(frequencies(texts, look))
-        best = scored(texts, look).groupBy("id", "item").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("b"))
-        out = out.union(best.select(F.col("id"), F.col("item"), "b.score", "b.first_word", "b.end_word"))
-    return out
+        out = out.union(scored(texts, look))
+    best = out.groupBy(*(F.col(f"`{c}`") for c in out.columns[:2])).agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("b"))
+    return best.select(*(F.col(f"`{c}`") for c in out.columns[:2]), "b.*")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:

@@ -374,6 +374,15 @@ def test_copies_with_dense_edits(spark):
     assert got == pytest.approx({pair: s for pair, s in plain.items() if s >= 0.5})
 
 
+def test_items_that_share_an_id(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcd"]
+    x = frame(spark, list(enumerate(texts)))
+    y = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (None, texts[2]), (7, texts[0])], "item_id bigint, text string")
+    for blocks in ({}, {"block_bytes": 50}):
+        assert sorted((r["doc_id"], r["item_id"]) for r in contaminated(x, y, **blocks).collect()) == [(0, 7), (1, 7), (2, None)]
+        assert [r["doc_id"] for r in decontaminate(x, y, **blocks).collect()] == [3]
+
+
 @tables
 def test_op8_finds_whole_items(spark, texts):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
