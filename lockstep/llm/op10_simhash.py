@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import saved, without
-from .textkit import chunks, utf8
+from .shared import forget, met_by, saved, without
+from .textkit import chunks, lean, utf8
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Groups of up to so many fingerprints are compared pair by pair; larger ones are divided by more masks.
-PAIRWISE = 256
+PAIRWISE = 64
 
 
 def shingle_hashes(text: bytes, n: int) -> list[int]:
@@ -52,6 +52,7 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int
     """(id, fp): fp as a signed long of the same bits."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(utf8(b.column(1)), shingle).view(np.int64))], ["id", "fp"])
 
@@ -67,8 +68,15 @@ def _each(masks: list[int]) -> Column:
     return F.posexplode(F.array(*[F.lit(m).cast("long") for m in masks]))
 
 
-ONE = [0xFFFFFFFF & ~(1 << i) for i in range(32)]
-TWO = [ONE[i] & ONE[j] for i in range(32) for j in range(i)]
+def _bit(value: Column, bits: Column) -> Column:
+    """1 if any of `bits` is set in the value."""
+    return (value.bitwiseAND(bits) != 0).cast("int")
+
+
+FULL = 0xFFFFFFFF
+ONE = [FULL & ~(1 << i) for i in range(32)]
+PAIRS = [(i, j) for i in range(32) for j in range(i)]
+TWO = [ONE[i] & ONE[j] for i, j in PAIRS]
 
 
 def links(distinct: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
@@ -77,7 +85,8 @@ def links(distinct: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     Of two such fingerprints one 32-bit segment differs in at most one bit. The Hamming ball of radius one around each segment is enumerated as 32 values
     with one bit cleared, which two segments share exactly if they are within one flipped bit; equal values are the table matches, and
     full distances are verified. A match group above `pairwise` isn't compared pair by pair: clearing one more bit in the other segment (or two, where the
-    first is equal) leaves groups of at most four, all within distance two of each other.
+    first is equal) leaves at most four fingerprints, all within two bits of each other. Which of the four stand there is a number of four bits, so such a
+    group is summed up before it is sent, however large.
     """
     fp = F.col("fp")
     pos, mask = F.col("pos").cast("long"), F.col("col")
@@ -85,20 +94,39 @@ def links(distinct: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     value = F.when(side == 0, _half(fp, 0)).otherwise(_half(fp, 1)).bitwiseAND(mask)
     spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # each row becomes 64
     keys = spread.select("fp", _each(ONE + ONE)).select("fp", value.bitwiseOR(F.shiftleft(side, 38)).bitwiseOR(F.shiftleft(bit, 32)).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    hits = saved(keys.join(shared, "key"), "hits")
+    # Keys meet once, with the least and the greatest of their fingerprints: a group of two is a pair already, and only larger ones are asked for their members.
+    met = saved(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"), "matches")
+    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS
+    two = met.where("n = 2").where(near).select("u", "v")
+    larger = met.where("n > 2").select("key", "n")
+    hits = saved(keys.join(larger, "key"), "hits")
     groups = hits.where(F.col("n") <= pairwise).groupBy("key").agg(F.collect_list("fp").alias("all"))
     few = groups.select("all", F.explode("all").alias("u")).select("u", F.explode(F.filter("all", lambda v: (v > F.col("u")) & (F.bit_count(v.bitwiseXOR(F.col("u"))) <= RADIUS))).alias("v"))
-    many = hits.where(F.col("n") > pairwise)
-    side = F.shiftright("key", 38)
-    other = F.when(side == 0, _half(fp, 1)).otherwise(_half(fp, 0))
-    rest = other.bitwiseAND(mask).bitwiseOR(F.shiftleft(pos, 32)).alias("rest")
-    finer = many.select("key", "fp", _each(ONE)).select("key", "fp", rest)
-    first = F.shiftright("key", 32).bitwiseAND(F.lit(31)) == 0
-    exact = F.when(side == 0, _half(fp, 0)).otherwise(_half(fp, 1)).bitwiseOR(F.shiftleft(side + 2, 38))
-    finer = finer.union(many.where(first).select("key", "fp", _each(TWO)).select(exact.alias("key"), "fp", rest))
-    stars = finer.groupBy("key", "rest").agg(F.min("fp").alias("u"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    return few.union(stars.select("u", F.explode("all").alias("v")).where("u != v")).distinct()
+    many = hits.where(F.col("n") > pairwise).select("fp", F.shiftright("key", 38).alias("side"), F.shiftright("key", 32).bitwiseAND(F.lit(31)).alias("i"))
+    own, other = F.when(F.col("side") == 0, _half(fp, 0)).otherwise(_half(fp, 1)), F.when(F.col("side") == 0, _half(fp, 1)).otherwise(_half(fp, 0))
+    own_at, other_at = F.when(F.col("side") == 0, F.lit(0)).otherwise(F.lit(32)), F.when(F.col("side") == 0, F.lit(32)).otherwise(F.lit(0))
+    one = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+
+    def flags(x: DataFrame, first: Column, second: Column) -> DataFrame:
+        """base: the fingerprint with both bits cleared; seen: a bit for each of the four fingerprints that stand there."""
+        place = x.select("fp", first.alias("a"), second.alias("b"))
+        which = _bit(fp, F.col("a")) + 2 * _bit(fp, F.col("b"))
+        here = F.when(which == 0, F.lit(1)).when(which == 1, F.lit(2)).when(which == 2, F.lit(4)).otherwise(F.lit(8))
+        return place.select(fp.bitwiseAND(F.bitwise_not(F.col("a").bitwiseOR(F.col("b")))).alias("base"), "a", "b", here.alias("seen"))
+
+    crossed = flags(many.select("fp", "side", "i", _each(ONE)), one(F.col("i") + own_at), one(F.col("pos") + other_at))
+    # An equal segment is in all its 32 groups, so the one with bit 0 cleared stands for them.
+    within = many.where("i = 0").select("fp", "side", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in PAIRS])).alias("p"))
+    within = flags(within, one(F.col("p.i") + other_at), one(F.col("p.j") + other_at))
+    stars = crossed.union(within).groupBy("base", "a", "b").agg(F.bit_or("seen").alias("seen")).where(F.bit_count("seen") > 1)
+    base, a, b = F.col("base"), F.col("a"), F.col("b")
+    four = [base, base.bitwiseOR(a), base.bitwiseOR(b), base.bitwiseOR(a).bitwiseOR(b)]
+    present = F.array_compact(F.array(*[F.when(F.col("seen").bitwiseAND(F.lit(1 << k)) != 0, x) for k, x in enumerate(four)]))
+    stars = stars.select(present.alias("all")).select(F.get("all", F.lit(0)).alias("u"), F.explode("all").alias("v")).where("u != v")
+    out = saved(two.union(few).union(stars).distinct(), "links")
+    forget(hits)
+    forget(met)
+    return out
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, pairwise: int = PAIRWISE) -> DataFrame:
@@ -109,11 +137,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     non-null ids give (null if there is none). Repeated rows give repeated results; an empty table an empty one. Other columns of `docs` are not returned.
     """
     own = saved(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = saved(own.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), pairwise))
-    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return own.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = saved(own.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct")
+    pairs = links(distinct.select("fp"), pairwise)
+    roots = components(pairs)
+    forget(pairs)
+    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("m"))
+    named = saved(met_by(linked, firsts, "root", "m").select("fp", "n", "component_id"), "named")
+    forget(distinct)
+    return met_by(own, named, "fp", "n").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[tempfile.TemporaryDirectory] = []
 
@@ -44,3 +45,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drops the columns that have one of these names in any case."""
     lower = {n.lower() for n in names}
     return df.select(*(df[f"`{c}`"] for c in df.columns if c.lower() not in lower))
+
+
+#: A key is hot if it has one of so many equal shares of the rows, so there are at most as many hot keys.
+SHARES = 1000
+
+
+def met_by(rows: DataFrame, once: DataFrame, key: str, count: str) -> DataFrame:
+    """rows.join(once, key), where `once` has each key once and in `count` how many of `rows` have it.
+
+    Hot keys, at most `SHARES` of them, are broadcast, so their rows stay where they are; the others meet by a shuffle that no key outweighs.
+    """
+    total = once.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * SHARES >= F.lit(total)
+    few = F.broadcast(once.where(hot))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(once.where(hot).select(key)), key, "left_anti").join(once.where(~hot), key))
