@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .radix import repeats
 from .windows import repeated_spans
 
 THRESHOLD, ANCHOR = 50, 24
@@ -36,8 +37,9 @@ def _cut(texts: pa.Table, raw: list[bytes], row: np.ndarray, start: np.ndarray,
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: int = THRESHOLD, anchor: int = ANCHOR, emit: str = "text", keep: bool = True, **sizes: int) -> DataFrame:
     """Removes each byte covered by a `threshold`-byte string that also starts in a document with a smaller id.
 
-    Suffixes are sorted by most-significant-digit passes and only through `threshold` bytes: first an anchor of `anchor` bytes,
-    then its context, then the whole window (see `windows`); groups within one document drop out after each pass.
+    Suffixes are ordered by their bytes in most-significant-digit passes and only through `threshold` bytes (see `radix`); groups within one document drop out after
+    each pass, and the groups left are exactly the repeated strings. Before that two passes over hashes of an anchor of `anchor` bytes and of its surroundings settle what repeats as a whole
+    and leave out what can't repeat (see `windows`), as ordering every suffix would move many times the data.
     Strings are judged on the input, not on what is left.
 
     emit="text": the rows of `docs` with n_bytes, n_removed, n_spans, kept_text and removed_spans (byte offsets; a
@@ -45,7 +47,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Nulls, ties, repeated rows and clashing names: see `windows.repeated_spans`. An empty text stays empty; an empty table gives an empty result.
     """
     tail = "kept_sha256 string" if emit == "digest" else "kept_text string, removed_spans array<struct<start:bigint,end:bigint>>"
-    return repeated_spans(docs, id_col, text_col, unit="byte", window=threshold, k=min(anchor, threshold - 1), finish=partial(_cut, emit=emit), adds=f"n_bytes bigint, n_removed bigint, n_spans bigint, {tail}", keep=keep, **sizes)
+    return repeated_spans(docs, id_col, text_col, unit="byte", window=threshold, k=min(anchor, threshold - 1), find=repeats, finish=partial(_cut, emit=emit), adds=f"n_bytes bigint, n_removed bigint, n_spans bigint, {tail}", keep=keep, **sizes)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

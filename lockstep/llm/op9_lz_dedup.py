@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .factors import repeats
 from .textkit import chunks, words
 from .windows import repeated_spans
 
@@ -39,9 +40,10 @@ def _drop_words(texts: pa.Table, raw: list[bytes], row: np.ndarray, start: np.nd
 def lz_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = LEAST, anchor: int = ANCHOR, emit: str = "text", keep: bool = True, **sizes: int) -> DataFrame:
     """Removes the words of factors that copy `least` or more consecutive words from a document with a smaller id.
 
-    Each document is parsed against the reference blocks (hash ranges of all documents' anchors, every block consulted).
-    A factor runs as long as each next `least`-word window, those across the boundary to the next factor included,
-    stands in some smaller document; other words are literals. Windows are judged on the input, not on what is left.
+    A reference block holds the passages of a range of anchors (see `windows`), and each passage of a document is parsed against the block that holds its anchor: greedily, the longest factor that
+    a smaller document of the block has, then on from the first string of `least` words across its end (see `factors`). A factor of `least` words
+    has an anchor, so no other block can hold it. Passages that a smaller document holds as a whole are one factor without a parse, and those whose anchor no
+    other document has are literals. Strings are judged on the input, not on what is left.
     n_factors counts the factors after those that touch have been joined.
 
     emit="text": the rows of `docs` with n_words, n_removed, n_factors and kept_text (kept words joined by one space);
@@ -49,7 +51,7 @@ def lz_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     Nulls, ties, repeated rows and clashing names: see `windows.repeated_spans`. Texts of under `least` words stay.
     """
     tail = "kept_sha256 string" if emit == "digest" else "kept_text string"
-    return repeated_spans(docs, id_col, text_col, unit="word", window=least, k=min(anchor, least - 1), finish=partial(_drop_words, emit=emit), adds=f"n_words bigint, n_removed bigint, n_factors bigint, {tail}", keep=keep, **sizes)
+    return repeated_spans(docs, id_col, text_col, unit="word", window=least, k=min(anchor, least - 1), find=repeats, finish=partial(_drop_words, emit=emit), adds=f"n_words bigint, n_removed bigint, n_factors bigint, {tail}", keep=keep, **sizes)
 
 
 def op9_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,26 @@
 """Which fixed-length windows of a document also start in a document with a smaller id.
 
-Exact, for windows of `window` units (bytes or words), in most-significant-digit passes over a content-selected sample of the suffixes:
+Sending every suffix through every pass would move many times the data, so two passes over hashes leave those that can repeat, and
+their text is then compared as it is, by the operator's own method:
 
 1. *Anchors.* In each window the k-gram with the smallest hash is an anchor, so equal windows have equal anchors at
-   equal offsets, and only about 2 of `window - k + 2` suffixes are sorted. First digit: the anchor's k-gram. A k-gram
-   that stands in one document only ends there.
-2. *Contexts.* Second digit: the anchor with `window - k` units on each side, which holds every window around it.
+   equal offsets, and only about 2 of `window - k + 2` places are looked at. A k-gram that stands in one document only ends there.
+2. *Contexts.* The anchor with `window - k` units on each side holds every window around it.
    Where a context stands in a smaller document too, all those windows repeat, however many copies there are.
-3. *Windows.* What is left are the edges of repeats, one occurrence of each context. Their windows are hashed through
-   the full depth; equal groups are exactly the repeated windows.
+3. *Passages.* What is left are the edges of repeats, one occurrence of each context. Their text, all windows of an anchor as one passage, goes to
+   the anchor's block, and `find` tells which of the windows also start in a smaller document (see `radix` and `factors`).
 
 Every pass combines before it shuffles: a task sends one document for each key, and settles the later ones itself. So a passage in a third of all
-documents costs a row for each task. Data move as packed columns dealt by hash range, in buckets of a stated number of bytes;
+documents costs a row for each task. An anchor that has many contexts in one task's share (a common line with varied surroundings) is hot: that task sends two rows of it, and
+everywhere its windows go out one by one by their own hashes, so no block gathers them. Data move as packed columns dealt by hash range, in buckets of a stated number of bytes;
 the texts are shuffled once, by document. Nothing is gathered on the driver but one sum of lengths.
-Keys are 48-bit hashes in pairs (96 bits), whole windows 64 bits.
+Contexts are compared by 96 bits of hashes (of 10**13 anchors about one pair in ten thousand runs would agree by chance), passages by their text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields
 from functools import partial
 
 import numpy as np
@@ -33,6 +35,8 @@ from .textkit import PAD_BYTE, chunks, gram_hashes, lean, lift, mix, pack, prefi
 BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 48
 #: Anchors or windows that a task holds before it sorts and sends them.
 FLUSH = 500_000
+#: An anchor with more contexts than this in one flush is hot.
+CROWD = 8
 #: Rows taken from a batch at once, and units hashed at once.
 STEP = 256
 SEGMENT = 1 << 18
@@ -41,19 +45,25 @@ _PAD_WORD = np.uint64(0xA5A5A5A5DEADBEEF)
 ID, TH, B, TEXT = "__w_id", "__w_th", "__w_b", "__w_text"
 
 
-def layout(texts: list[bytes], unit: str, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units of all texts with `pad` filler units around each, and each text's first unit and number of units."""
+def layout(texts: list[bytes], unit: str, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Units of all texts with `pad` filler units around each, each text's first unit and number of units, and what gives the bytes of units from `at` on: buffer, begins, ends."""
     if unit == "byte":
         filler = bytes([PAD_BYTE]) * pad
         units = np.frombuffer(filler + filler.join(texts) + filler, np.uint8)
         size = np.array([len(t) for t in texts], np.int64)
-    else:
-        buffer, start, end, first = words(texts)
-        hashes, size = word_hashes(buffer, start, end), np.diff(first)
-        units = np.full(len(hashes) + pad * (len(texts) + 1), _PAD_WORD)
-        owner, _ = spread(size)
-        units[np.arange(len(hashes)) + pad * (owner + 1)] = hashes
-    return units, pad + np.cumsum(size + pad) - size - pad, size
+        return units, pad + np.cumsum(size + pad) - size - pad, size, lambda at, n: (units, at, at + n)
+    buffer, start, end, first = words(texts)
+    hashes, size = word_hashes(buffer, start, end), np.diff(first)
+    units = np.full(len(hashes) + pad * (len(texts) + 1), _PAD_WORD)
+    owner, _ = spread(size)
+    units[np.arange(len(hashes)) + pad * (owner + 1)] = hashes
+    begin = pad + np.cumsum(size + pad) - size - pad
+
+    def bytes_of(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        word = at - pad * (np.searchsorted(begin, at, "right"))
+        return buffer, start[word], end[word + n - 1]
+
+    return units, begin, size, bytes_of
 
 
 def segments(units: np.ndarray, halo: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -66,7 +76,7 @@ def segments(units: np.ndarray, halo: int) -> Iterator[tuple[int, int, int, np.n
 def anchors(texts: list[bytes], unit: str, window: int, k: int) -> tuple[np.ndarray, ...]:
     """Text number, position, k-gram (48 bits) and context (48 bits) of each anchor."""
     pad, w = window - k, window - k + 1
-    units, first, size = layout(texts, unit, pad)
+    units, first, size, _ = layout(texts, unit, pad)
     found = []
     for a, b, lo, sums in segments(units, window) if (size >= window).any() else ():
         grams = gram_hashes(sums, k)
@@ -86,29 +96,59 @@ def anchors(texts: list[bytes], unit: str, window: int, k: int) -> tuple[np.ndar
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def windows_at(texts: list[bytes], text: np.ndarray, pos: np.ndarray, unit: str, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Text number, start and hash of the windows whose anchor stands at the given places."""
+@dataclass
+class Passages:
+    """Stretches of documents that hold `count` windows each: document, first unit, text and what they are routed by."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    key: np.ndarray
+    length: np.ndarray
+    text: np.ndarray
+
+    @staticmethod
+    def joined(parts: list[Passages]) -> Passages:
+        return Passages(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Passages)))
+
+    def where(self, keep: np.ndarray) -> Passages:
+        begin = np.cumsum(self.length) - self.length
+        return Passages(self.doc[keep], self.start[keep], self.count[keep], self.key[keep], self.length[keep], gathered(self.text, begin[keep], self.length[keep]))
+
+
+def gathered(buffer: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The slices of a buffer one after the other."""
+    owner, nth = spread(length)
+    return buffer[begin[owner] + nth]
+
+
+def passages_at(texts: list[bytes], text: np.ndarray, pos: np.ndarray, unit: str, window: int, k: int, alone: bool) -> Passages:
+    """The windows whose anchor stands at the given places: those of an anchor as one passage, keyed by the anchor, or each `alone`, keyed by itself."""
     pad, w = window - k, window - k + 1
-    units, first, size = layout(texts, unit, pad)
-    at = np.sort(np.unique(first[text] + pos))
-    found = []
+    units, first, size, bytes_of = layout(texts, unit, pad)
+    at = np.unique(first[text] + pos)
+    none = np.zeros(0, np.int64)
+    found = [Passages(none, none, none, np.zeros(0, np.uint64), none, np.zeros(0, np.uint8))]
     for a, b, lo, sums in segments(units, window):
         here = at[np.searchsorted(at, a) : np.searchsorted(at, b)]
         if not len(here):
             continue
         grams = gram_hashes(sums, k)
         least = window_min(grams, w)
-        start = (here[:, None] - np.arange(pad + 1)).ravel()
-        own = np.repeat(here, pad + 1)
-        t = np.searchsorted(first, own, "right") - 1
-        keep = (start >= first[t]) & (start + window <= first[t] + size[t])
-        start, own, t = start[keep], own[keep], t[keep]
-        keep = least[start - lo] == grams[own - lo]
-        start, t = start[keep], t[keep]
-        found.append((t, start - first[t], slice_hashes(sums, start - lo, start + window - lo)))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        t = np.searchsorted(first, here, "right") - 1
+        start = here[:, None] + np.arange(-pad, 1)
+        keep = (start >= first[t][:, None]) & (start + window <= (first[t] + size[t])[:, None])
+        keep &= least[np.clip(start - lo, 0, len(least) - 1)] == grams[here - lo][:, None]  # a run of starts, as the anchor is the least from one smaller k-gram to the next
+        n = keep.sum(axis=1)
+        if alone:
+            start, t, n = start[keep], np.repeat(t, n), np.ones(n.sum(), np.int64)
+            key = slice_hashes(sums, start - lo, start + window - lo)
+        else:
+            some = n > 0
+            start, t, key, n = (here - pad + keep.argmax(axis=1))[some], t[some], grams[here - lo][some], n[some]
+        buffer, begin, end = bytes_of(start, n + window - 1)
+        found.append(Passages(t, start - first[t], n, key >> np.uint64(16), end - begin, gathered(buffer, begin, end - begin)))
+    return Passages.joined(found)
 
 
 def order(key: np.ndarray, ids: np.ndarray, context: np.ndarray | None) -> np.ndarray:
@@ -222,7 +262,7 @@ def bucket_of(key: np.ndarray, edges: np.ndarray, buckets: int) -> np.ndarray:
     return ((((share.astype(np.uint64) << np.uint64(PARTS)) + part) * np.uint64(buckets)) >> np.uint64(SHARES + PARTS)).astype(np.int32)
 
 
-def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: int, buckets: int, flush: int, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: int, buckets: int, flush: int, crowd: int, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
     """First pass, on the map side."""
     lean()
 
@@ -251,7 +291,19 @@ def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: i
         o, later = settled(table, doc, gram, context)
         yield from dealt("s", table[1][doc[o[later]]] % buckets, table, doc[o[later]], p=pos[o[later]])
         o = o[~later]
-        yield from dealt("a", bucket_of(gram[o], edges, buckets), table, doc[o], k_up=gram[o], c=(context[o]), p=pos[o])
+        begin = runs(gram[o])
+        size, ids = np.diff(np.append(begin, len(o))), table[0][doc[o]]
+        least, most = (np.repeat(f.reduceat(ids, begin), size) for f in (np.minimum, np.maximum)) if len(o) else (ids, ids)
+        hot = (np.repeat(size, size) > crowd) & (least < most)
+        yield from dealt("h", table[1][doc[o[hot]]] % buckets, table, doc[o[hot]], p=pos[o[hot]])
+        # Of a hot anchor the least and the greatest document stand for all.
+        number = np.repeat(np.arange(len(begin)), size)
+        sent = ~hot
+        for end in (least, most):
+            at = np.flatnonzero(hot & (ids == end))
+            sent[at[runs(number[at])]] = True
+        x = o[sent]
+        yield from dealt("a", bucket_of(gram[x], edges, buckets), table, doc[x], k_up=gram[x], c=context[x], p=pos[x], f=hot[sent])
 
     return wire(rows())
 
@@ -260,8 +312,8 @@ def blobs_of(rows: pa.Table, kind: str) -> list[bytes]:
     return [b for k, b in zip(rows["kind"].to_pylist(), rows["blob"].to_pylist(), strict=True) if k == kind]
 
 
-def passed(rows: pa.Table, kind: str) -> Iterator[tuple]:
-    return ((b, k, x) for b, k, x in zip(*(rows[c].to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if k == kind)
+def passed(rows: pa.Table, *kinds: str) -> Iterator[tuple]:
+    return ((b, k, x) for b, k, x in zip(*(rows[c].to_pylist() for c in ("bucket", "kind", "blob")), strict=True) if k in kinds)
 
 
 def table_of(rows: Iterator[tuple]) -> pa.Table:
@@ -271,14 +323,14 @@ def table_of(rows: Iterator[tuple]) -> pa.Table:
 
 
 def meet_anchors(rows: pa.Table, buckets: int) -> pa.Table:
-    """First and second digit: places whose whole context repeats (s), and places to look at window by window (q)."""
+    """Places whose whole context repeats (s), and places whose windows are to be compared by their text (q, and h where the anchor is hot)."""
 
     def out() -> Iterator[tuple]:
-        yield from passed(rows, "s")
+        yield from passed(rows, "s", "h")
         docs, x = opened(blobs_of(rows, "a"))
         if not x:
             return
-        doc, pos, gram, context = x["d"], x["p"], x["k_up"], x["c"]
+        doc, pos, gram, context, flag = x["d"], x["p"], x["k_up"], x["c"], x["f"]
         o, later = settled(docs, doc, gram, context)
         ids, g = docs[0][doc[o]], gram[o]
         begin = runs(g)
@@ -286,11 +338,13 @@ def meet_anchors(rows: pa.Table, buckets: int) -> pa.Table:
         several = np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin)
         new = np.zeros(len(g), np.int64)
         new[runs(g, context[o])] = 1
-        several &= np.add.reduceat(new, begin) > 1
-        asked = o[np.repeat(several, size) & ~later]
+        hot = np.logical_or.reduceat(flag[o], begin)
+        several &= (np.add.reduceat(new, begin) > 1) | hot
+        asked = np.repeat(several, size) & ~later & ~flag[o]
+        for kind, which in (("q", asked & ~np.repeat(hot, size)), ("h", asked & np.repeat(hot, size))):
+            yield from dealt(kind, docs[1][doc[o[which]]] % buckets, docs, doc[o[which]], p=pos[o[which]])
         later = o[later]
         yield from dealt("s", docs[1][doc[later]] % buckets, docs, doc[later], p=pos[later])
-        yield from dealt("q", docs[1][doc[asked]] % buckets, docs, doc[asked], p=pos[asked])
 
     return table_of(out())
 
@@ -348,33 +402,57 @@ def unit_counts(texts: list[bytes], unit: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def send_windows(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: int, buckets: int) -> pa.Table:
-    """Third digit, on the map side: the windows around the places to look at."""
+#: ids of passages' documents, and the passages: which passage, and first and last unit of a repeated stretch of it, as a window of it also starts in a document with a smaller id.
+Find = Callable[[np.ndarray, Passages, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def asked_passages(known: tuple[np.ndarray, ...], raw: list[bytes], rows: pa.Table, kind: str, unit: str, window: int, k: int) -> Passages | None:
+    """The passages around the places to look at, by text row."""
+    docs, x = opened(blobs_of(rows, kind))
+    if not x:
+        return None
+    row, pos = located(known, docs)[x["d"]], x["p"].astype(np.int64)
+    o = np.argsort(row, kind="stable")
+    row, pos = row[o], pos[o]
+    asked = np.unique(row)
+    some, found = [raw[i] for i in asked], []
+    for i, j in chunks(some):
+        a, z = np.searchsorted(row, [asked[i], asked[j - 1] + 1])
+        part = passages_at(some[i:j], np.searchsorted(asked[i:j], row[a:z]), pos[a:z], unit, window, k, kind == "h")
+        part.doc = asked[i:j][part.doc]
+        found.append(part)
+    return Passages.joined(found)
+
+
+def dealt_passages(x: Passages, bucket: np.ndarray, docs: tuple[np.ndarray, ...]) -> Iterator[tuple]:
+    """A (bucket, "w", blob) for each bucket, with the passages' text."""
+    o = np.argsort(bucket, kind="stable")
+    cuts = np.append(runs(bucket[o]), len(o))
+    begin = np.cumsum(x.length) - x.length
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        at = o[a:z]
+        yield int(bucket[o[a]]), "w", sealed(docs, x.doc[at].astype(np.uint32), p=x.start[at].astype(np.uint32), n=x.count[at].astype(np.uint32), l=x.length[at].astype(np.uint32), x=gathered(x.text, begin[at], x.length[at]))
+
+
+def send_passages(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: int, buckets: int, edges: np.ndarray, find: Find) -> pa.Table:
+    """The text around the places to look at. Windows of hot anchors are settled here first, so of equal ones a single document goes out."""
 
     def out() -> Iterator[tuple]:
         known = numbered(texts)
         table = tuple(texts[c].to_numpy() for c in (ID, TH))
         raw = utf8(texts[TEXT])
         spans = context_spans(known, rows, unit_counts(raw, unit), window, k)
-        docs, x = opened(blobs_of(rows, "q"))
+        x = asked_passages(known, raw, rows, "q", unit, window, k)
+        if x:
+            yield from dealt_passages(x, bucket_of(x.key, edges, buckets), table)
+        x = asked_passages(known, raw, rows, "h", unit, window, k)
         if x:
-            row, pos = located(known, docs)[x["d"]], x["p"].astype(np.int64)
-            o = np.argsort(row, kind="stable")
-            row, pos = row[o], pos[o]
-            asked = np.unique(row)
-            some = [raw[i] for i in asked]
-            found = []
-            for i, j in chunks(some):
-                a, z = np.searchsorted(row, [asked[i], asked[j - 1] + 1])
-                t, start, w = windows_at(some[i:j], np.searchsorted(asked[i:j], row[a:z]), pos[a:z], unit, window, k)
-                found.append((asked[i:j][t].astype(np.uint32), start.astype(np.uint32), w))
-            doc, start, w = (np.concatenate(c) for c in zip(*found, strict=True))
-            o, later = settled(table, doc, w, None)
-            late = o[later]
-            spans.append((doc[late].astype(np.int64), start[late].astype(np.int64), start[late].astype(np.int64) + window))
-            o = o[~later]
-            bucket = (((w[o] >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(48)).astype(np.int32)
-            yield from dealt("w", bucket, table, doc[o], k_up=w[o], p=start[o])
+            which, start, end = find(table[0][x.doc], x, window)
+            spans.append((x.doc[which], start, end))
+            keep = np.ones(len(x.doc), bool)
+            keep[which] = False
+            x = x.where(keep)
+            yield from dealt_passages(x, (((x.key >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32), table)
         if spans:
             row, start, end = covered(*(np.concatenate(c) for c in zip(*spans, strict=True)))
             yield from dealt("m", table[1][row] % buckets, table, row, p=start.astype(np.uint32), e=end.astype(np.uint32))
@@ -382,17 +460,16 @@ def send_windows(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: int
     return table_of(out())
 
 
-def meet_windows(rows: pa.Table, window: int, buckets: int) -> pa.Table:
-    """Third digit: windows that also start in a smaller document."""
+def meet_passages(rows: pa.Table, window: int, buckets: int, find: Find) -> pa.Table:
+    """The stretches of a block's passages that also stand in smaller documents."""
 
     def out() -> Iterator[tuple]:
         yield from passed(rows, "m")
         docs, x = opened(blobs_of(rows, "w"))
         if x:
-            doc, start = x["d"], x["p"]
-            o, later = settled(docs, doc, x["k_up"], None)
-            o = o[later]
-            yield from dealt("m", docs[1][doc[o]] % buckets, docs, doc[o], p=start[o], e=start[o] + np.uint32(window))
+            doc = x["d"]
+            which, start, end = find(docs[0][doc], Passages(doc, x["p"].astype(np.int64), x["n"].astype(np.int64), doc, x["l"].astype(np.int64), x["x"]), window)
+            yield from dealt("m", docs[1][doc[which]] % buckets, docs, doc[which], p=start.astype(np.uint32), e=end.astype(np.uint32))
 
     return table_of(out())
 
@@ -442,7 +519,7 @@ def bucket_count(texts: DataFrame, column: Column, bucket_bytes: int = BUCKET_BY
     return max(LEAST_BUCKETS, -(-total // bucket_bytes))
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: int, k: int, finish: Finish, adds: str, keep: bool = True, bucket_bytes: int = BUCKET_BYTES, flush: int = FLUSH) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: int, k: int, find: Find, finish: Finish, adds: str, keep: bool = True, bucket_bytes: int = BUCKET_BYTES, flush: int = FLUSH, crowd: int = CROWD) -> DataFrame:
     """Rows of `docs` with what `finish` makes of each text and its repeated spans.
 
     `unit` is "byte" or "word". `adds` is the schema of the columns that `finish` returns; an input column of that name
@@ -454,17 +531,18 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, *, unit: str, wi
     if not 0 < k < window:
         raise ValueError("k must lie between 1 and window - 1")
     added = StructType.fromDDL(adds).fieldNames()
-    fields = [f for f in docs.schema.fields if (keep or f.name == id_col) and f.name.lower() not in {a.lower() for a in added} and not f.name.startswith("__w_")]
+    stay = [f for f in docs.schema.fields if (keep or f.name == id_col) and f.name.lower() not in {a.lower() for a in added} and not f.name.startswith("__w_")]
     buckets = bucket_count(docs, F.col(f"`{text_col}`"), bucket_bytes)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)).cast("long"))
     th = F.xxhash64(text, key).bitwiseAND(F.lit(0xFFFFFFFF))
     own = [key.alias(ID), th.alias(TH), text.alias(TEXT)]
-    whole = docs.select(*(F.col(f"`{f.name}`") for f in fields), *own, F.pmod(th, F.lit(buckets)).cast("int").alias(B))
+    whole = docs.select(*(F.col(f"`{f.name}`") for f in stay), *own, F.pmod(th, F.lit(buckets)).cast("int").alias(B))
     how = {"unit": unit, "window": window, "k": k}
-    sent = docs.select(*own).mapInArrow(partial(send_anchors, buckets=buckets, flush=flush, edges=knots(window - k + 1), **how), WIRE)
+    edges = knots(window - k + 1)
+    sent = docs.select(*own).mapInArrow(partial(send_anchors, buckets=buckets, flush=flush, crowd=crowd, edges=edges, **how), WIRE)
     met = sent.groupBy("bucket").applyInArrow(one(meet_anchors, buckets=buckets), WIRE)
-    asked = whole.groupBy(B).cogroup(met.groupBy("bucket")).applyInArrow(two(send_windows, buckets=buckets, **how), WIRE)
-    spans = asked.groupBy("bucket").applyInArrow(one(meet_windows, window=window, buckets=buckets), WIRE)
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), adds])
-    return whole.groupBy(B).cogroup(spans.groupBy("bucket")).applyInArrow(two(finish_texts, finish=finish, names=[*(f.name for f in fields), *added], **how), shape)
+    asked = whole.groupBy(B).cogroup(met.groupBy("bucket")).applyInArrow(two(send_passages, buckets=buckets, edges=edges, find=find, **how), WIRE)
+    spans = asked.groupBy("bucket").applyInArrow(one(meet_passages, window=window, buckets=buckets, find=find), WIRE)
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stay), adds])
+    return whole.groupBy(B).cogroup(spans.groupBy("bucket")).applyInArrow(two(finish_texts, finish=finish, names=[*(f.name for f in stay), *added], **how), shape)

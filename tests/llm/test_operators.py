@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lockstep.llm import op5_toxicity, op6_language, op8_decontamination
+from lockstep.llm import factors, op5_toxicity, op6_language, op8_decontamination, radix
 from lockstep.llm.components import components
 from lockstep.llm.op1_quotes import conversations
 from lockstep.llm.op2_suffix_dedup import op2_suffix_dedup, suffix_dedup
@@ -22,6 +22,7 @@ from lockstep.llm.op8_decontamination import align, contaminated, decontaminate
 from lockstep.llm.op9_lz_dedup import lz_dedup, op9_lz_dedup
 from lockstep.llm.op10_simhash import links, op10_simhash, simhash_dedup, simhash_groups
 from lockstep.llm.packing import pack, reduce_dominated
+from lockstep.llm.windows import Passages
 
 from . import brute
 
@@ -70,7 +71,7 @@ def test_op9_on_the_table(spark, texts):
     assert got == brute.op9(texts)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 2000, "flush": 50}])
+@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 2000, "flush": 50}, {"bucket_bytes": 2000, "crowd": 1}, {"crowd": 0}])
 def test_windows_at_the_edges(spark, odd, sizes):
     got = by_id(suffix_dedup(frame(spark, odd), emit="digest", keep=False, **sizes).collect(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.op2(odd)
@@ -110,6 +111,50 @@ def test_windows_by_chance(spark, some):
     assert got == brute.op2(docs, 6)
 
 
+def test_windows_of_a_line_in_a_third_of_the_documents(spark):
+    rng = random.Random(8)
+    line = "this very common line stands in a third of all the documents that there are, in varied surroundings"
+    some = [(i, " ".join(f"w{rng.randrange(90)}" for _ in range(30)) + (f" {line} " if i % 3 == 0 else "\n") + " ".join(f"v{rng.randrange(90)}" for _ in range(30))) for i in range(150)]
+    for sizes in ({"crowd": 2}, {"crowd": 2, "bucket_bytes": 1500, "flush": 200}):
+        got = by_id(suffix_dedup(frame(spark, some), emit="digest", keep=False, **sizes).collect(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert got == brute.op2(some)
+        got = by_id(lz_dedup(frame(spark, some), emit="digest", keep=False, **sizes).collect(), "n_words", "n_removed", "kept_sha256")
+        assert got == brute.op9(some)
+
+
+def passages(units):
+    """Whole texts as passages: of the words or bytes in each."""
+    texts = [u if isinstance(u, bytes) else " ".join(u).encode() for u in units]
+    n = len(texts)
+    return lambda width: Passages(np.arange(n), np.zeros(n, np.int64), np.array([len(u) - width + 1 for u in units]), np.arange(n), np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.text("ab", min_size=11, max_size=40)), min_size=1, max_size=7), st.integers(1, 11))
+def test_radix_order_finds_the_repeated_strings(some, depth):
+    units = [t.encode() for _, t in some]
+    got = set(zip(*(x.tolist() for x in radix.repeats(np.array([i for i, _ in some]), passages(units)(depth), depth)), strict=True))
+    starts = [(i, k, p, u[p : p + depth]) for k, (u, (i, _)) in enumerate(zip(units, some, strict=True)) for p in range(len(u) - depth + 1)]
+    assert got == {(k, p, p + depth) for i, k, p, u in starts if any(v == u and j < i for j, _, _, v in starts)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.lists(st.sampled_from(["x", "yy", "é"]), min_size=5, max_size=25)), min_size=1, max_size=7), st.integers(1, 5))
+def test_parse_takes_the_longest_factors(some, least):
+    """Greedy, place by place, against every passage of a smaller document."""
+    units = [u for _, u in some]
+    got = sorted(zip(*(x.tolist() for x in factors.repeats(np.array([i for i, _ in some]), passages(units)(least), least)), strict=True))
+    want = []
+    for k, (i, u) in enumerate(some):
+        p = 0
+        while p + least <= len(u):
+            n = max((n for j, v in some if j < i for q in range(len(v)) for n in range(least, min(len(u) - p, len(v) - q) + 1) if v[q : q + n] == u[p : p + n]), default=0)
+            if n:
+                want.append((k, p, p + n))
+            p += max(n - least + 1, 1) if n else 1
+    assert got == sorted(want)
+
+
 # 10: SimHash.
 
 
