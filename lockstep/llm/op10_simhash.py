@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import forget, met_by, saved, without
+from .shared import SHARES, forget, met_by, saved, without
 from .textkit import chunks, lean, utf8
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Groups of up to so many fingerprints are compared pair by pair; larger ones are divided by more masks.
 PAIRWISE = 64
+#: Parts of a hot key's rows.
+SALTS = 64
 
 
 def shingle_hashes(text: bytes, n: int) -> list[int]:
@@ -99,7 +101,11 @@ def links(distinct: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS
     two = met.where("n = 2").where(near).select("u", "v")
     larger = met.where("n > 2").select("key", "n")
-    hits = saved(keys.join(larger, "key"), "hits")
+    # Of the rows of a hot key (at most `SHARES` of them) each takes one of some salts. The join is a shuffle at every size, so that its cost grows in proportion.
+    hot = F.broadcast(larger.where(F.col("n") * SHARES >= F.lit(64 * distinct.count())).select("key", F.lit(SALTS).alias("salts")))
+    salted = keys.join(hot, "key", "left").select("key", "fp", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("salts")), F.lit(0)).alias("salt"))
+    asked = larger.join(hot, "key", "left").select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - F.lit(1).cast("long"))).alias("salt"))
+    hits = saved(salted.join(asked.hint("merge"), ["key", "salt"]).select("key", "fp", "n"), "hits")
     groups = hits.where(F.col("n") <= pairwise).groupBy("key").agg(F.collect_list("fp").alias("all"))
     few = groups.select("all", F.explode("all").alias("u")).select("u", F.explode(F.filter("all", lambda v: (v > F.col("u")) & (F.bit_count(v.bitwiseXOR(F.col("u"))) <= RADIUS))).alias("v"))
     many = hits.where(F.col("n") > pairwise).select("fp", F.shiftright("key", 38).alias("side"), F.shiftright("key", 32).bitwiseAND(F.lit(31)).alias("i"))
