@@ -15,7 +15,9 @@ from .op8_decontamination import normal_words
 
 FOLDS, HELD_OUT, LEAST_SCORE = 4, 2, 0.3
 #: Most labelled rows of each class that the models are fitted on (in expectation; chosen by a hash of the id), voters, and features of the classifier.
-SAMPLE, VOTERS, FEATURES = 2500, 48, 8192
+SAMPLE, VOTERS, FEATURES = 2500, 160, 8192
+#: A lexicon voter stands so many times as often in toxic texts as in others, and so many standard errors more often.
+LIFT, SURPRISE = 40.0, 4.0
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
 
@@ -31,7 +33,7 @@ def _hash(words: list[str]) -> np.ndarray:
 
 
 LEXICON_HASHES = np.sort(_hash(LEXICON))
-#: Pattern voters: shouting (a third of the letters are capitals), exclamation (three marks in a row), lexicon (one word of it), lexicon twice.
+#: Pattern voters: shouting (of 20 ASCII letters or more a third are capitals), exclamation (three marks in a row), lexicon (one word of it), lexicon twice.
 PATTERNS = ("shouting", "exclamation", "lexicon", "lexicon_twice")
 
 
@@ -62,56 +64,100 @@ def features(texts: list[bytes], chosen: np.ndarray | None = None) -> tuple[np.n
                 keep = chosen[f]
                 f, t = f[keep], t[keep]
             found.append((t << BITS) | f)
+        raw = np.frombuffer(b"\n".join(texts[i:j]) + b"\n", np.uint8)
+        ends = np.cumsum([0] + [len(t) + 1 for t in texts[i:j]])
+        capitals, letters = (np.diff(np.concatenate([[0], np.cumsum(x)])[ends]) for x in ((raw >= 65) & (raw <= 90), ((raw | 32) >= 97) & ((raw | 32) <= 122)))
+        votes[i:j] |= (letters >= 20) & (3 * capitals >= letters)
     for k, t in enumerate(texts):
         if b"!!!" in t:
             votes[k] |= 2
-        if t.isupper() and len(t) > 20:
-            votes[k] |= 1
     key, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return key >> BITS, key & ((1 << BITS) - 1), count, votes
 
 
 @dataclass
 class LabelModel:
-    """Class prior, chances that each voter speaks given the class, and each voter's share of independent evidence."""
+    """Class prior, and for each voter its parent (-1: none) and the chances that it speaks, given the class and whether its parent does: speaks[class, parent speaks, voter]."""
 
     prior: float = 0.1
-    speaks: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
-    share: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    parent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    speaks: np.ndarray = field(default_factory=lambda: np.zeros((2, 2, 0)))
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
-        one, zero = self.speaks[1], self.speaks[0]
-        spoken, silent = np.log(one / zero), np.log((1 - one) / (1 - zero))
-        return np.log(self.prior / (1 - self.prior)) + (votes * spoken + (1 - votes) * silent) @ self.share
-
-
-def fit_label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, rounds: int = 25) -> tuple[LabelModel, np.ndarray]:
-    """EM over voters; the given labels are one more voter, with its own estimated accuracy. Returns the model (without it) and the rows' posteriors.
-
-    Voters that agree beyond what the class explains don't count as independent: a voter's share is 1 / (1 + the sum of its positive correlations with the
-    others, given the class).
+        """Of the class, by the voters that speak. One that is silent abstains: a lexicon of one language says nothing about a text in another."""
+        given = np.where(self.parent >= 0, votes[:, self.parent], 0)
+        chance = [np.where(given == 1, self.speaks[y, 1], self.speaks[y, 0]) for y in (0, 1)]
+        return np.log(self.prior / (1 - self.prior)) + (votes * (np.log(chance[1]) - np.log(chance[0]))).sum(axis=1)
+
+
+def _pairs(votes: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Weight of the rows in which voters i and j say a and b, as [a, b, i, j]."""
+    both = (votes * share[:, None]).T @ votes
+    one = both.diagonal()
+    return np.array([[share.sum() - one[:, None] - one[None, :] + both, one[None, :] - both], [one[:, None] - both, both]])
+
+
+def dependencies(votes: np.ndarray, q: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Each voter's parent in the tree that holds the strongest correlations given the class, by pairwise mutual information (Chow and Liu)."""
+    m = votes.shape[1]
+    shared = np.zeros((m, m))
+    for share in (q * weight, (1 - q) * weight):
+        n = _pairs(votes, share) + 0.25
+        total = n.sum(axis=(0, 1))
+        first, second = n.sum(axis=1, keepdims=True), n.sum(axis=0, keepdims=True)
+        shared += (n * np.log(n * total / (first * second))).sum(axis=(0, 1))
+    parent, best, near = np.full(m, -1), np.full(m, -np.inf), np.full(m, -1)
+    inside = np.zeros(m, bool)
+    for _ in range(m):  # Prim's algorithm
+        new = int(np.where(inside, -np.inf, best).argmax()) if inside.any() else 0
+        inside[new] = True
+        parent[new] = near[new]
+        closer = ~inside & (shared[new] > best)
+        best[closer], near[closer] = shared[new][closer], new
+    return parent
+
+
+def fit_label_model(votes: np.ndarray, weight: np.ndarray, start: np.ndarray, prior: float, rounds: int = 20) -> tuple[LabelModel, np.ndarray]:
+    """Expectation-maximisation over the votes alone, from a first guess of the class, with a given share of the class. Returns the model and the rows' posteriors.
+
+    The rounds take voters as independent given the class; then a tree of correlations is estimated from their posteriors, and in one more round each voter's chances depend on its parent's
+    vote too, so that voters that say the same count once.
     """
-    all_votes = np.column_stack([votes, given]).astype(float)
-    q = np.where(given == 1, 0.9, 0.1).astype(float)
-    m = all_votes.shape[1]
-    model = LabelModel()
+    votes, m = votes.astype(float), votes.shape[1]
+    q, parent, model = start.astype(float), np.full(m, -1), LabelModel()
+    for phase in (0, 1):
+        if phase and m > 1:
+            parent = dependencies(votes, q, weight)
+        for _ in range(1 if phase else rounds):
+            speaks = np.zeros((2, 2, m))
+            given = np.where(parent >= 0, votes[:, parent], 0)
+            mean = votes.mean(axis=0)
+            for y, share in ((1, q * weight), (0, (1 - q) * weight)):
+                for z in (0, 1):
+                    here = share[:, None] * (given == z)
+                    speaks[y, z] = (np.einsum("ij,ij->j", here, votes) + 0.5 * mean) / (here.sum(axis=0) + 0.5)
+            model = LabelModel(prior, parent, np.clip(speaks, 1e-4, 1 - 1e-4))
+            new = 1 / (1 + np.exp(-np.clip(model.log_odds(votes), -30, 30)))
+            moved = np.abs(new - q).max() if len(q) else 0
+            q = new
+            if moved < 1e-4:
+                break
+    return model, q
+
+
+def calibrate(z: np.ndarray, given: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Scale and shift of a log-odds score by which it fits the given labels best (logistic regression with one input, by Newton's method)."""
+    x = np.column_stack([z, np.ones(len(z))])
+    beta, goal = np.array([1.0, 0.0]), np.where(given == 1, 0.999, 0.001)
     for _ in range(rounds):
-        speaks, correlation = np.zeros((2, m)), np.zeros((m, m))
-        for y, w in ((1, q * weight), (0, (1 - q) * weight)):
-            speaks[y] = np.clip((w @ all_votes + 0.5 * all_votes.mean(0)) / (w.sum() + 0.5), 1e-4, 1 - 1e-4)
-            residual = (all_votes - speaks[y]) / np.sqrt(speaks[y] * (1 - speaks[y]))
-            correlation += (residual * w[:, None]).T @ residual / max(w.sum(), 1e-9) / 2
-        np.fill_diagonal(correlation, 0)
-        correlation[:, -1] = correlation[-1, :] = 0
-        share = 1 / (1 + np.clip(correlation, 0, 1).sum(1))
-        prior = float(np.clip((q * weight).sum() / max(weight.sum(), 1e-9), 1e-3, 0.999))
-        model = LabelModel(prior, speaks, share)
-        new = 1 / (1 + np.exp(-np.clip(model.log_odds(all_votes), -30, 30)))
-        moved = np.abs(new - q).max() if len(q) else 0
-        q = new
-        if moved < 1e-4:
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (weight * (p - goal)) + 1e-3 * (beta - [1.0, 0.0]))
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+        beta = beta - step
+        if np.abs(step).max() < 1e-6:
             break
-    return LabelModel(model.prior, model.speaks[:, :-1], model.share[:-1]), q
+    return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (1.0, 0.0)
 
 
 def fit_linear(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, d: int, target: np.ndarray, weight: np.ndarray, rounds: int = 150, penalty: float = 3.0) -> tuple[np.ndarray, float]:
@@ -148,7 +194,11 @@ class Toxicity:
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray, int]], weight: np.ndarray, voters: int = VOTERS, wanted: int = FEATURES) -> Toxicity:
-    """From (label, features, counts, pattern votes) of the sampled rows."""
+    """From (label, features, counts, pattern votes) of the sampled rows.
+
+    The given labels choose which words and word beginnings become lexicon voters, give the share of the class, and calibrate the scores in the end. What the classifier learns from are the label model's posteriors, which come from
+    the votes alone.
+    """
     n, size = len(rows), 1 << BITS
     given = np.array([r[0] for r in rows], np.int64)
     if not n or given.min() == given.max():
@@ -157,7 +207,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray, int]], weight: np.ndarray,
         return Toxicity(np.zeros(size, bool), np.zeros(size), bias, LabelModel())
     lengths = np.array([len(r[1]) for r in rows])
     row, feature, count = np.repeat(np.arange(n, dtype=np.int32), lengths), np.concatenate([r[1] for r in rows]).astype(np.int32), np.concatenate([r[2] for r in rows])
-    w = weight[row]
+    row0, w = row, weight[row]
     pos, neg = (np.bincount(feature, w * (given[row] == y), size) for y in (1, 0))
     total = np.array([(weight * (given == y)).sum() for y in (1, 0)])
     held = np.bincount(feature, minlength=size)
@@ -172,17 +222,26 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray, int]], weight: np.ndarray,
     cuts = np.searchsorted(column[by_column], np.arange(len(ranked) + 1))
     patterns = np.array([r[3] for r in rows], np.int64)
     columns = [(patterns >> b) & 1 for b in range(len(PATTERNS))]
-    for c in np.flatnonzero(excess[ranked] > 0):
+    (n1, n0), (rows1, rows0) = (((given == y).sum() for y in (1, 0)), (np.bincount(feature, given[row0] == y, size)[ranked] for y in (1, 0)))
+    share = (rows1 + rows0) / n
+    surprise = (rows1 / n1 - rows0 / n0) / np.sqrt(share * (1 - share + 1 / n) * (1 / n1 + 1 / n0))
+    lift = (rows1 + 0.5) / n1 / ((rows0 + 0.5) / n0)
+    for c in np.flatnonzero((surprise >= SURPRISE) & (lift >= LIFT)):
         if len(columns) >= voters + len(PATTERNS):
             break
         vote = np.zeros(n, np.int64)
         vote[row[by_column[cuts[c] : cuts[c + 1]]]] = 1
         if all((vote & x).sum() < 0.95 * (vote | x).sum() for x in columns[len(PATTERNS) :]):  # not the same voter again
             columns.append(vote)
-    label_model, posterior = fit_label_model(np.column_stack(columns), given, weight)
-    weights = np.zeros(size)
+    votes = np.column_stack(columns)
+    heard = votes[:, PATTERNS.index("lexicon") :].sum(axis=1)
+    rate = float(np.clip(total[0] / total.sum(), 1e-3, 0.999))
+    label_model, posterior = fit_label_model(votes, weight, np.array([0.02, 0.5, 0.98])[np.minimum(heard, 2)], rate)
     some, bias = fit_linear(row, column, value, n, len(ranked), posterior, weight)
-    weights[ranked] = some
+    scale, shift = calibrate(np.bincount(row, some[column] * value, n) + bias, given, weight)
+    weights = np.zeros(size)
+    weights[ranked] = scale * some
+    bias = scale * bias + shift
     chosen = np.zeros(size, bool)
     chosen[ranked] = True
     return Toxicity(chosen, weights.astype(np.float32), bias, label_model)
@@ -200,7 +259,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.searchsorted(text, np.arange(len(raw) + 1))
         for k in range(len(raw)):
             x = slice(cuts[k], cuts[k + 1])
-            out.append(pack(f=feature[x].astype(np.uint32), c=np.minimum(count[x], 65535).astype(np.uint16), v=votes[k : k + 1]))
+            out.append(pack(f=feature[x].astype(np.uint32), c=count[x].astype(np.uint32), v=votes[k : k + 1]))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["label", "blob"])
 
 

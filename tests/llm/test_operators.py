@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -324,14 +325,75 @@ def test_toxicity_at_the_edges(spark, odd):
     assert op5_toxicity.drop_toxic(x.limit(0), labels).count() == 0
 
 
-def test_label_model_finds_good_voters():
+def test_toxicity_of_long_texts_and_clashing_columns(spark):
+    rows = [(i, ("you idiot and moron " if i % 3 == 0 else "a quiet day in the garden ") * (20000 if i == 3 else 3)) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] * 2, "doc_id bigint, toxic int")
+    x = spark.createDataFrame([(i, t, i, -1.0, True) for i, t in rows], "doc_id bigint, text string, toxic bigint, score double, held_out boolean")
+    kept = op5_toxicity.drop_toxic(x, labels)
+    assert kept.columns == x.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(60) if i % 3]
+
+
+def votes_by_chance():
     rng = np.random.default_rng(0)
-    y = rng.random(3000) < 0.3
-    vote = lambda hit, miss: (rng.random(3000) < np.where(y, hit, miss)).astype(int)
-    good, second, bad = vote(0.9, 0.05), vote(0.8, 0.1), vote(0.3, 0.3)
-    model, q = op5_toxicity.fit_label_model(np.column_stack([good, good, second, bad]), vote(0.85, 0.1), np.ones(3000))
+    y = rng.random(2000) < 0.3
+    vote = lambda hit, miss: (rng.random(2000) < np.where(y, hit, miss)).astype(int)
+    good = vote(0.9, 0.02)
+    return y, np.column_stack([good, good, vote(0.8, 0.03), vote(0.3, 0.3)])
+
+
+def test_label_model_counts_voters_that_agree_once():
+    y, votes = votes_by_chance()
+    start = np.array([0.02, 0.5, 0.98])[np.minimum(votes[:, :3].sum(axis=1), 2)]
+    model, q = op5_toxicity.fit_label_model(votes, np.ones(2000), start, 0.3)
     assert ((q > 0.5) == y).mean() > 0.93
-    assert model.share[0] < 0.7 < model.share[3]
+    assert model.parent[1] == 0 or model.parent[0] == 1
+    one = model.log_odds(np.array([[1, 1, 0, 0], [0, 0, 0, 0]]))
+    alone = np.log(model.speaks[1, 0, 0] / model.speaks[0, 0, 0])
+    assert abs(one[0] - one[1] - alone) < 0.3 * alone  # the second of the twins adds little
+
+
+def test_label_model_against_a_plain_version():
+    """The same rounds, one row and voter after the other, with the tree that was found."""
+    y, votes = votes_by_chance()
+    votes = votes[:60]
+    start = [[0.02, 0.5, 0.98][min(sum(v[:3]), 2)] for v in votes.tolist()]
+    model, q = op5_toxicity.fit_label_model(votes, np.ones(60), np.array(start), 0.3)
+    rows, plain = votes.tolist(), list(start)
+    mean = [sum(r[j] for r in rows) / 60 for j in range(4)]
+    for tree, rounds in (([-1] * 4, 20), (model.parent.tolist(), 1)):
+        for _ in range(rounds):
+            chance = {}
+            for c in (0, 1):
+                share = [p if c else 1 - p for p in plain]
+                for j in range(4):
+                    for z in (0, 1):
+                        here = [s for s, r in zip(share, rows, strict=True) if (r[tree[j]] if tree[j] >= 0 else 0) == z]
+                        spoke = [s for s, r in zip(share, rows, strict=True) if r[j] and (r[tree[j]] if tree[j] >= 0 else 0) == z]
+                        chance[c, z, j] = min(max((sum(spoke) + 0.5 * mean[j]) / (sum(here) + 0.5), 1e-4), 1 - 1e-4)
+            new = []
+            for r in rows:
+                z = np.log(0.3 / 0.7) + sum(np.log(chance[1, r[tree[j]] if tree[j] >= 0 else 0, j] / chance[0, r[tree[j]] if tree[j] >= 0 else 0, j]) for j in range(4) if r[j])
+                new.append(1 / (1 + np.exp(-z)))
+            moved, plain = max(abs(a - b) for a, b in zip(new, plain, strict=True)), new
+            if moved < 1e-4:
+                break
+    assert q == pytest.approx(plain, abs=1e-6)
+
+
+def test_scores_against_a_plain_version():
+    """Weights times log counts of whole words and word beginnings, summed text by text."""
+    texts = ["you utter idiot", "Idiot, idiot! grand", "", "nothing here", "idiotic idea " * 5000]
+    hashed = lambda u: int((op5_toxicity._hash([u])[0] + np.uint64(0)) >> np.uint64(64 - op5_toxicity.BITS))
+    begin = lambda u, n: int((op5_toxicity._hash([u[:n]])[0] + np.uint64(n)) >> np.uint64(64 - op5_toxicity.BITS))
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=1 << op5_toxicity.BITS).astype(np.float32)
+    model = op5_toxicity.Toxicity(np.ones(1 << op5_toxicity.BITS, bool), weights, -0.5, op5_toxicity.LabelModel())
+    want = []
+    for t in texts:
+        found = [hashed(w) for w in re.findall("[a-z]+", t.lower())] + [begin(w, n) for w in re.findall("[a-z]+", t.lower()) for n in op5_toxicity.PREFIXES if len(w) > n]
+        want.append(1 / (1 + np.exp(-(sum(weights[f] * np.log1p(found.count(f)) for f in set(found)) - 0.5))))
+    assert model.score([t.encode() for t in texts]) == pytest.approx(want, abs=1e-5)
 
 
 @tables
