@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,8 +64,16 @@ def less(a: Column, b: Column) -> Column:
 
 
 def in_training(key: Column, share: float = 0.5, seed: int = 0) -> Column:
-    """A repeatable random split by a hash of the key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+    """A repeatable random split: whether the first 32 bits of MD5 of "seed:key" lie in the share. A null key is tested, not trained on."""
+    if not 0 <= share <= 1:
+        raise ValueError("share must lie between 0 and 1")
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8)
+    return F.coalesce(digest < F.lit(f"{int(share * (1 << 32)):08x}") if share < 1 else digest.isNotNull(), F.lit(False))
+
+
+def with_training(df: DataFrame, training: Column) -> DataFrame:
+    """df with a column training; where the condition is null a row is tested, not trained on."""
+    return df.withColumn("training", F.coalesce(training, F.lit(False)))
 
 
 def copies(n: int) -> Column:

@@ -32,3 +32,14 @@ def carry_sum_job(df: DataFrame, max_iter: int = 50, halt_above: int | None = 1_
         return {"halt": halt_above is not None and value > halt_above, "value": value}
 
     return IterativeJob(df, worker_totals, master, SCHEMA, max_iter=max_iter, prepare=worker_sums, combine=lambda r: r.agg(F.sum("value").alias("value")), **more)
+
+
+def line_worker(data: DataFrame, state: State | None, context: Context) -> DataFrame:
+    """As `worker_totals`, over lines (worker_id, value) that each hold a whole number; others raise."""
+    return worker_totals(worker_sums(data.select(WORKER, F.col("value").cast("long").alias("value"))), state)
+
+
+def line_master(rows: list, state: State | None, context: Context) -> State:
+    """The sum over workers; halts above the option `halt.above`, if there is one."""
+    value, limit = sum(r["value"] for r in rows), context.options.get("halt.above")
+    return {"halt": limit is not None and value > int(limit), "value": value}

@@ -88,11 +88,9 @@ def batch_gradient(shape: Shape, weights: Sequence[float], x: np.ndarray, y: np.
 
 
 def batch_gradients(df: DataFrame, weights: Sequence[float], shape: Shape) -> DataFrame:
-    """As column_gradients, by NumPy over Arrow batches; one output. The gradient is an array g."""
-    if shape.outputs != 1:
-        raise ValueError("wide networks have one output here")
-    w = list(weights)
-    sums = vector_partials(df, lambda x, y: batch_gradient(shape, w, x, y), shape.inputs)
+    """As column_gradients, by NumPy over Arrow batches. The gradient is an array g."""
+    w, several = list(weights), "labels" in df.columns
+    sums = vector_partials(df, lambda x, y: batch_gradient(shape, w, x, y), shape.inputs, label="labels" if several else "label", outputs=shape.outputs if several else None)
     return sums.select(WORKER, "n", (F.col("error") / F.col("n")).alias("error"), F.col("vector").alias("g"))
 
 

@@ -83,16 +83,14 @@ def _moment_gradients(moments: DataFrame, weights: Sequence[float]) -> DataFrame
     return moments.select(WORKER, (dot_with(rows, w) / (2 * F.col("n"))).alias("error"), *(rows[i].alias(f"g{i}") for i in range(n + 1)))
 
 
-def regression_job(df: DataFrame, n_features: int, *, link: str = "linear", rate: float = 0.1, max_iter: int = 50, initial: Sequence[float] | None = None, seed: int | None = None, method: str = "auto", **more: object) -> IterativeJob:
+def regression_job(df: DataFrame, n_features: int, *, link: str = "linear", rate: float = 0.1, max_iter: int = 50, initial: Sequence[float] | None = None, seed: int | None = None, method: str = "scan", **more: object) -> IterativeJob:
     """Over (worker_id, features array<double>, label double). link: "linear" or "logistic".
 
-    method: "scan" reads the (kept) rows in each iteration; "moments" (linear only) sums the products of the columns once, and iterates over a row for each worker;
-    "auto" is moments for a linear model of up to `WIDE` features. Moments lose digits where the error is tiny against the labels; scan doesn't.
+    method: "scan" reads the (kept) rows in each iteration; "moments" (linear only) sums the products of the columns once, and iterates over a row for each worker.
+    Moments lose digits where the error is tiny against the labels, so they are the caller's choice; scan doesn't.
     """
     if link not in ("linear", "logistic"):
         raise ValueError(link)
-    if method == "auto":
-        method = "moments" if link == "linear" and n_features <= WIDE else "scan"
     if method not in ("scan", "moments") or (method == "moments" and link != "linear"):
         raise ValueError(f"{method} doesn't go with {link}")
     first = start(n_features, initial, seed)

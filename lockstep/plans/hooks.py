@@ -47,9 +47,9 @@ class LogHook(Hook):
 
 
 class MetricsHook(Hook):
-    """Seconds, rows from the workers, and the driver JVM's memory and collection time, for each iteration."""
+    """For each iteration: seconds, rows from the workers, the driver JVM's memory and collection time, and of the workers' tasks their number, their rows, run time, collection time and peak memory."""
 
-    SCHEMA = "iteration int, results long, halted boolean, seconds double, gc_ms long, used_mb double"
+    SCHEMA = "iteration int, results long, halted boolean, seconds double, gc_ms long, used_mb double, tasks long, task_rows long, task_ms long, task_gc_ms long, task_peak_mb double"
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
@@ -65,7 +65,27 @@ class MetricsHook(Hook):
 
     def after_iteration(self, context: Context) -> None:
         used = self._factory.getMemoryMXBean().getHeapMemoryUsage().getUsed() / 1e6
-        self.rows.append((context.iteration, len(context.results), bool(context.state.get("halt")), time.monotonic() - self._began, self._gc_ms() - self._gc, float(used)))
+        self.rows.append((context.iteration, len(context.results), bool(context.state.get("halt")), time.monotonic() - self._began, self._gc_ms() - self._gc, float(used), *self._tasks(context)))
+
+    @staticmethod
+    def _tasks(context: Context) -> tuple[int, int, int, int, float]:
+        """Sums over the iteration's stages, as Spark's status store has them."""
+        spark = context.spark.sparkContext
+        store, tracker = spark._jsc.sc().statusStore(), spark.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup(context.group) if (info := tracker.getJobInfo(j)) for s in info.stageIds}
+        tasks = rows = run = gc = 0
+        peak = 0.0
+        for s in sorted(stages):
+            try:
+                stage = store.lastStageAttempt(s)
+            except Exception:  # noqa: BLE001  the store keeps a bounded number of stages
+                continue
+            tasks += int(stage.numCompleteTasks())
+            rows += int(stage.inputRecords()) + int(stage.shuffleReadRecords())
+            run += int(stage.executorRunTime())
+            gc += int(stage.jvmGcTime())
+            peak = max(peak, stage.peakExecutionMemory() / 1e6)
+        return tasks, rows, run, gc, peak
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, self.SCHEMA)

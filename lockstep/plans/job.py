@@ -20,9 +20,12 @@ from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
+from ..sources.workers import WORKER
 from .checkpoint import Checkpoints
 from .hooks import Hook
+from .partial import Partial
 
 State = dict[str, Any]
 Worker = Callable[[DataFrame, State | None, "Context"], DataFrame | None]
@@ -41,6 +44,7 @@ class Context:
     state: State | None = None
     results: list[Row] = field(default_factory=list)
     callbacks: list[Callable[[Context], None]] = field(default_factory=list)
+    group: str = ""
 
     def on_completion(self, callback: Callable[[Context], None]) -> None:
         """Runs after the loop, before the hooks' after_application, also if the loop failed."""
@@ -80,6 +84,7 @@ class IterativeJob:
     combine: reduces R_t on the executors.
     setup, cleanup: run at the first iteration of a run and after the loop.
     halt_on_all_workers: the rows of R_t have a column halt; if it is true in all (at least one), M_t halts.
+    partial: lets iterations go on without late workers; `combine` then doesn't apply, as each worker's rows come on their own (the worker function gets one worker's data at a time).
     timeout: seconds for one iteration's plan; beyond it the Spark jobs are cancelled. With `soft` the master then gets no rows, else (and always at the first
     iteration) the job fails.
     """
@@ -99,15 +104,18 @@ class IterativeJob:
     system_hooks: tuple[Hook, ...] = ()
     checkpoints: Checkpoints | None = None
     halt_on_all_workers: bool = False
+    partial: Partial | None = None
     timeout: float | None = None
     soft: bool = True
     progress: Callable[[int, int, str], None] | None = None
     options: dict[str, Any] = field(default_factory=dict)
 
-    def run(self, resume: bool = False) -> Result:
-        """Runs the loop; with `resume` from the last state that the checkpoints hold."""
+    def run(self, resume: bool = False, on_result: Callable[[Result], None] | None = None) -> Result:
+        """Runs the loop; with `resume` from the last state that the checkpoints hold. `on_result` gets the result as soon as it stands, before what is called after the loop."""
         if self.max_iter < 1:
             raise ValueError("max_iter must be at least 1")
+        if self.partial and (self.combine or self.timeout is not None):
+            raise ValueError("partial goes with neither combine nor timeout")
         spark = self.data.sparkSession
         context = Context(spark, self.name, self.max_iter, self.options)
         hooks = [*self.system_hooks, *self.hooks]
@@ -129,6 +137,8 @@ class IterativeJob:
                 context.iteration += 1
                 self._iterate(kept, context, hooks)
                 states[context.iteration] = context.state
+            if on_result:
+                on_result(self._result(context, states, data))
         except BaseException as e:  # noqa: BLE001  raised again below, after the clean-up
             error = e
         error = self._after(context.callbacks, context, error)
@@ -137,16 +147,24 @@ class IterativeJob:
             kept.unpersist()
         if error:
             raise error
-        return Result(spark, self.schema, context.iteration, states, bool((context.state or {}).get("halt")), data)
+        return self._result(context, states, data)
+
+    def _result(self, context: Context, states: dict[int, State], data: DataFrame) -> Result:
+        return Result(context.spark, self.schema, context.iteration, states, bool((context.state or {}).get("halt")), data)
 
     def _iterate(self, data: DataFrame, context: Context, hooks: list[Hook]) -> None:
         for hook in hooks:
             hook.before_iteration(context)
         spark, group = context.spark.sparkContext, f"{self.name}-{uuid.uuid4().hex}"
-        plan = self.worker(data, context.state, context)
-        if plan is not None and self.combine:
-            plan = self.combine(plan)
-        context.results = self._collect(plan, spark, group, context) if plan is not None else []
+        context.group = group
+        if self.partial:
+            of = lambda w: self.worker(data.where(F.col(WORKER) == w), context.state, context)
+            context.results = self.partial.collect(context.spark, of, context.iteration, self.max_iter)
+        else:
+            plan = self.worker(data, context.state, context)
+            if plan is not None and self.combine:
+                plan = self.combine(plan)
+            context.results = self._collect(plan, spark, group, context) if plan is not None else []
         state = self.master(context.results, context.state, context)
         if self.halt_on_all_workers and context.results and all(r["halt"] for r in context.results):
             state = state | {"halt": True}
@@ -160,14 +178,15 @@ class IterativeJob:
 
     def _collect(self, plan: DataFrame, spark: Any, group: str, context: Context) -> list[Row]:
         about = f"{self.name}: iteration {context.iteration} of {self.max_iter}"
+        before = spark.getLocalProperty("spark.jobGroup.id")
+        spark.setJobGroup(group, about, interruptOnCancel=True)
         if self.timeout is None:
-            spark.setJobDescription(about)
             try:
                 return plan.collect()
             finally:
+                spark.setLocalProperty("spark.jobGroup.id", before)
                 spark.setJobDescription(None)
         late = threading.Event()
-        spark.setJobGroup(group, about, interruptOnCancel=True)
         timer = threading.Timer(self.timeout, lambda: (late.set(), spark.cancelJobGroup(group)))
         timer.start()
         try:
@@ -180,7 +199,7 @@ class IterativeJob:
             raise TimeoutError(f"{about} took more than {self.timeout} s") from e
         finally:
             timer.cancel()
-            spark.setLocalProperty("spark.jobGroup.id", None)
+            spark.setLocalProperty("spark.jobGroup.id", before)
             spark.setJobDescription(None)
 
     @staticmethod

@@ -16,9 +16,10 @@ from .operators import custom, kmeans, mlp, regression
 from .operators.carry_sum import carry_sum_job, worker_sums, worker_totals
 from .operators.optim import update
 from .plans.checkpoint import Checkpoints
-from .plans.hooks import LogHook, MetricsHook
+from .plans.hooks import LogHook
 from .plans.job import Context, IterativeJob, State
-from .sources.workers import WORKER, only_workers, tag_source, with_worker_id
+from .sources.shared import shared_folder
+from .sources.workers import WORKER, tag_source, with_worker_id
 from .streaming.results import accepted, windowed_sums
 
 W = 4
@@ -79,13 +80,6 @@ def worker_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worker_totals(worker_sums(rows), carry_sum_job(rows, 1, None).run().state)
 
 
-@query(sum_chain(2) + " SELECT sum(r)::BIGINT AS value FROM r2 WHERE worker_id IN (0, 2)")
-def late_workers_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quantities(spark, sf_dir)
-    r = worker_totals(worker_sums(only_workers(rows, [0, 2])), carry_sum_job(rows, 1, None).run().state)
-    return r.agg(F.sum("value").alias("value"))
-
-
 @query(sum_chain(3) + " SELECT 3::INTEGER AS iteration, m AS value FROM m3")
 def python_worker_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pandas as pd
@@ -113,16 +107,6 @@ def resume_equals_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r.iteration, r.state["value"])], "iteration int, value bigint")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a folder of this machine only where Spark runs on it alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file:///tmp/lockstep"
-
-
 # Regression.
 
 
@@ -163,12 +147,12 @@ _PRICE, _FLAG = "l_extendedprice / 100000", "(l_returnflag = 'R')::INT::DOUBLE"
 
 @query(regression_chain(_PRICE, False, 6) + _WEIGHTS)
 def linreg_gd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _model(spark, _linear(spark, sf_dir).run().state["parameters"])
+    return _model(spark, _linear(spark, sf_dir, method="moments").run().state["parameters"])
 
 
 @query(regression_chain(_PRICE, False, 6) + _WEIGHTS)
 def linreg_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _model(spark, _linear(spark, sf_dir, method="scan").run().state["parameters"])
+    return _model(spark, _linear(spark, sf_dir).run().state["parameters"])
 
 
 _TRACE = " UNION ALL ".join(f"SELECT {t}::INTEGER AS iteration, round(error, 6) + 0.0 AS error FROM w{t}" for t in range(1, 7))
@@ -200,16 +184,16 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")).alias("features"))
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("features"))
     return with_worker_id(x, W, "vec_id")
 
 
 _CUSTOMERS = f"SELECT c_custkey AS key, c_custkey % {W} AS worker, [c_acctbal / 1000, c_nationkey::DOUBLE] AS x FROM customer"
-_VECS = f"SELECT vec_id AS key, vec_id % {W} AS worker, list_transform(embedding[1:4], lambda v: v::DOUBLE) AS x FROM embeddings"
+_VECS = f"SELECT vec_id AS key, vec_id % {W} AS worker, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings"
 
 
 def kmeans_chain(source: str, k: int, c: int, steps: int, mode: str) -> str:
-    dot = lambda a, b: "(" + " + ".join(f"{a}[{j}] * {b}[{j}]" for j in range(1, c + 1)) + ")"
+    dot = lambda a, b: f"list_dot_product({a}, {b})"
     sql = f"WITH d AS ({source}), a0 AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY key) - 1 AS rn, count(*) OVER (PARTITION BY worker) AS n FROM d)"
     sql += f", seeds AS (SELECT worker, rn, x FROM a0 WHERE n <= {k} OR rn % greatest(n // {k}, 1) = 0)"
     sql += f", o AS (SELECT x, row_number() OVER (ORDER BY sqrt({dot('x', 'x')}), worker, rn) - 1 AS i, count(*) OVER () AS n FROM seeds)"
@@ -273,10 +257,10 @@ def kmeans_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans.tagged(job.data, states, "compat").groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query(kmeans_chain(_VECS, 4, 4, 4, "cosine") + f" SELECT i::INTEGER AS k, {_coordinates(4)} FROM m4")
+@query(kmeans_chain(_VECS, 8, 64, 4, "cosine") + f" SELECT i::INTEGER AS k, {_coordinates(64)} FROM m4")
 def kmeans_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = kmeans.kmeans_job(vecs(spark, sf_dir), 4, 4, key="vec_id", max_iter=4).run()
-    return _centres(r.state, spark, 4)
+    r = kmeans.kmeans_job(vecs(spark, sf_dir), 8, 64, key="vec_id", max_iter=4).run()
+    return _centres(r.state, spark, 64)
 
 
 # Parsing and scalar functions.
@@ -338,10 +322,11 @@ def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey % 2 = 0 AS training, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 2 == 0).alias("training")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    x = scalars.with_training(table(spark, sf_dir, "orders"), F.col("o_orderkey") % 2 == 0)
+    return x.groupBy("training").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query()
+@query("SELECT substr(md5('1:' || o_orderkey), 1, 8) < '80000000' AS training, count(*) AS n FROM orders GROUP BY 1")
 def hashed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(scalars.in_training(F.col("o_orderkey"), 0.5, seed=1).alias("training")).agg(F.count("*").alias("n"))
 
@@ -533,10 +518,3 @@ def hook_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     setup = lambda c: c.on_completion(lambda d: log.append(("callback", "completion", d.iteration)))
     carry_sum_job(quantities(spark, sf_dir), 2, None, system_hooks=(LogHook("a", log),), hooks=(LogHook("b", log),), setup=setup).run()
     return spark.createDataFrame([(i, *x) for i, x in enumerate(log)], "position int, label string, event string, iteration int")
-
-
-@query("SELECT t::INTEGER AS iteration, 1::BIGINT AS results, false AS halted FROM range(1, 4) AS r(t)")
-def iteration_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hook = MetricsHook()
-    carry_sum_job(quantities(spark, sf_dir), 3, None, hooks=(hook,)).run()
-    return hook.frame(spark).select("iteration", "results", "halted")

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from lockstep import queries_io  # noqa: F401  registers its queries
 from lockstep.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
