@@ -13,12 +13,13 @@ their text is then compared as it is, by the operator's own method:
 Every pass combines before it shuffles: a task sends one document for each key, and settles the later ones itself. So a passage in a third of all
 documents costs a row for each task. An anchor that has many contexts in one task's share (a common line with varied surroundings) is hot: that task sends two rows of it, and
 everywhere its windows go out one by one by their own hashes, so no block gathers them. Data move as packed columns dealt by hash range, in buckets of a stated number of bytes;
-the texts are shuffled once, by document. Nothing is gathered on the driver but one sum of lengths.
+beyond `FAN` buckets in two steps, so that blobs keep their size however many buckets there are. The texts are shuffled once, by document. Nothing is gathered on the driver but one sum of lengths.
 Contexts are compared by 96 bits of hashes (of 10**13 anchors about one pair in ten thousand runs would agree by chance), passages by their text.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 from functools import partial
@@ -35,6 +36,8 @@ from .textkit import PAD_BYTE, chunks, gram_hashes, lean, lift, mix, pack, prefi
 BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 48
 #: Anchors or windows that a task holds before it sorts and sends them.
 FLUSH = 500_000
+#: Buckets that a task deals out to directly.
+FAN = 2048
 #: An anchor with more contexts than this in one flush is hot.
 CROWD = 8
 #: Rows taken from a batch at once, and units hashed at once.
@@ -193,10 +196,13 @@ def sealed(docs: tuple[np.ndarray, ...], doc: np.ndarray, **columns: np.ndarray)
     return pack(i_up=docs[0][used], t=docs[1][used].astype(np.uint32), d=rank[local], **columns)
 
 
-def dealt(kind: str, bucket: np.ndarray, docs: tuple[np.ndarray, ...], doc: np.ndarray, **columns: np.ndarray) -> Iterator[tuple]:
-    """A (bucket, kind, blob) for each bucket; rows keep their order within it."""
+def dealt(kind: str, bucket: np.ndarray, docs: tuple[np.ndarray, ...], doc: np.ndarray, step: int = 1, **columns: np.ndarray) -> Iterator[tuple]:
+    """A (bucket, kind, blob) for each bucket; rows keep their order within it. With `step` above 1 for each run of so many buckets, and the blob says which one a row goes to (see `refined`)."""
     if not len(bucket):
         return
+    if step > 1:
+        columns["b"] = bucket.astype(np.uint32)
+        bucket = bucket // step
     o = np.argsort(bucket, kind="stable")
     s = bucket[o]
     cuts = np.append(runs(s), len(s))
@@ -262,7 +268,7 @@ def bucket_of(key: np.ndarray, edges: np.ndarray, buckets: int) -> np.ndarray:
     return ((((share.astype(np.uint64) << np.uint64(PARTS)) + part) * np.uint64(buckets)) >> np.uint64(SHARES + PARTS)).astype(np.int32)
 
 
-def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: int, buckets: int, flush: int, crowd: int, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: int, buckets: int, flush: int, crowd: int, edges: np.ndarray, step: int = 1) -> Iterator[pa.RecordBatch]:
     """First pass, on the map side."""
     lean()
 
@@ -289,13 +295,13 @@ def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: i
         held.clear()
         table = docs.arrays()
         o, later = settled(table, doc, gram, context)
-        yield from dealt("s", table[1][doc[o[later]]] % buckets, table, doc[o[later]], p=pos[o[later]])
+        yield from dealt("s", table[1][doc[o[later]]] % buckets, table, doc[o[later]], step, p=pos[o[later]])
         o = o[~later]
         begin = runs(gram[o])
         size, ids = np.diff(np.append(begin, len(o))), table[0][doc[o]]
         least, most = (np.repeat(f.reduceat(ids, begin), size) for f in (np.minimum, np.maximum)) if len(o) else (ids, ids)
         hot = (np.repeat(size, size) > crowd) & (least < most)
-        yield from dealt("h", table[1][doc[o[hot]]] % buckets, table, doc[o[hot]], p=pos[o[hot]])
+        yield from dealt("h", table[1][doc[o[hot]]] % buckets, table, doc[o[hot]], step, p=pos[o[hot]])
         # Of a hot anchor the least and the greatest document stand for all.
         number = np.repeat(np.arange(len(begin)), size)
         sent = ~hot
@@ -303,7 +309,7 @@ def send_anchors(batches: Iterator[pa.RecordBatch], unit: str, window: int, k: i
             at = np.flatnonzero(hot & (ids == end))
             sent[at[runs(number[at])]] = True
         x = o[sent]
-        yield from dealt("a", bucket_of(gram[x], edges, buckets), table, doc[x], k_up=gram[x], c=context[x], p=pos[x], f=hot[sent])
+        yield from dealt("a", bucket_of(gram[x], edges, buckets), table, doc[x], step, k_up=gram[x], c=context[x], p=pos[x], f=hot[sent])
 
     return wire(rows())
 
@@ -322,7 +328,7 @@ def table_of(rows: Iterator[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def meet_anchors(rows: pa.Table, buckets: int) -> pa.Table:
+def meet_anchors(rows: pa.Table, buckets: int, step: int = 1) -> pa.Table:
     """Places whose whole context repeats (s), and places whose windows are to be compared by their text (q, and h where the anchor is hot)."""
 
     def out() -> Iterator[tuple]:
@@ -342,9 +348,9 @@ def meet_anchors(rows: pa.Table, buckets: int) -> pa.Table:
         several &= (np.add.reduceat(new, begin) > 1) | hot
         asked = np.repeat(several, size) & ~later & ~flag[o]
         for kind, which in (("q", asked & ~np.repeat(hot, size)), ("h", asked & np.repeat(hot, size))):
-            yield from dealt(kind, docs[1][doc[o[which]]] % buckets, docs, doc[o[which]], p=pos[o[which]])
+            yield from dealt(kind, docs[1][doc[o[which]]] % buckets, docs, doc[o[which]], step, p=pos[o[which]])
         later = o[later]
-        yield from dealt("s", docs[1][doc[later]] % buckets, docs, doc[later], p=pos[later])
+        yield from dealt("s", docs[1][doc[later]] % buckets, docs, doc[later], step, p=pos[later])
 
     return table_of(out())
 
@@ -424,17 +430,18 @@ def asked_passages(known: tuple[np.ndarray, ...], raw: list[bytes], rows: pa.Tab
     return Passages.joined(found)
 
 
-def dealt_passages(x: Passages, bucket: np.ndarray, docs: tuple[np.ndarray, ...]) -> Iterator[tuple]:
-    """A (bucket, "w", blob) for each bucket, with the passages' text."""
+def dealt_passages(x: Passages, bucket: np.ndarray, docs: tuple[np.ndarray, ...], step: int = 1) -> Iterator[tuple]:
+    """A (bucket, "w", blob) for each bucket, with the passages' text; `step` as in `dealt`."""
+    fine, bucket = bucket.astype(np.uint32), bucket // step
     o = np.argsort(bucket, kind="stable")
     cuts = np.append(runs(bucket[o]), len(o))
     begin = np.cumsum(x.length) - x.length
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         at = o[a:z]
-        yield int(bucket[o[a]]), "w", sealed(docs, x.doc[at].astype(np.uint32), p=x.start[at].astype(np.uint32), n=x.count[at].astype(np.uint32), l=x.length[at].astype(np.uint32), x=gathered(x.text, begin[at], x.length[at]))
+        yield int(bucket[o[a]]), "w", sealed(docs, x.doc[at].astype(np.uint32), p=x.start[at].astype(np.uint32), n=x.count[at].astype(np.uint32), l=x.length[at].astype(np.uint32), x=gathered(x.text, begin[at], x.length[at]), **({"b": fine[at]} if step > 1 else {}))
 
 
-def send_passages(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: int, buckets: int, edges: np.ndarray, find: Find) -> pa.Table:
+def send_passages(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: int, buckets: int, edges: np.ndarray, find: Find, step: int = 1) -> pa.Table:
     """The text around the places to look at. Windows of hot anchors are settled here first, so of equal ones a single document goes out."""
 
     def out() -> Iterator[tuple]:
@@ -444,7 +451,7 @@ def send_passages(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: in
         spans = context_spans(known, rows, unit_counts(raw, unit), window, k)
         x = asked_passages(known, raw, rows, "q", unit, window, k)
         if x:
-            yield from dealt_passages(x, bucket_of(x.key, edges, buckets), table)
+            yield from dealt_passages(x, bucket_of(x.key, edges, buckets), table, step)
         x = asked_passages(known, raw, rows, "h", unit, window, k)
         if x:
             which, start, end = find(table[0][x.doc], x, window)
@@ -452,15 +459,15 @@ def send_passages(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: in
             keep = np.ones(len(x.doc), bool)
             keep[which] = False
             x = x.where(keep)
-            yield from dealt_passages(x, (((x.key >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32), table)
+            yield from dealt_passages(x, (((x.key >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32), table, step)
         if spans:
             row, start, end = covered(*(np.concatenate(c) for c in zip(*spans, strict=True)))
-            yield from dealt("m", table[1][row] % buckets, table, row, p=start.astype(np.uint32), e=end.astype(np.uint32))
+            yield from dealt("m", table[1][row] % buckets, table, row, step, p=start.astype(np.uint32), e=end.astype(np.uint32))
 
     return table_of(out())
 
 
-def meet_passages(rows: pa.Table, window: int, buckets: int, find: Find) -> pa.Table:
+def meet_passages(rows: pa.Table, window: int, buckets: int, find: Find, step: int = 1) -> pa.Table:
     """The stretches of a block's passages that also stand in smaller documents."""
 
     def out() -> Iterator[tuple]:
@@ -469,11 +476,42 @@ def meet_passages(rows: pa.Table, window: int, buckets: int, find: Find) -> pa.T
         if x:
             doc = x["d"]
             which, start, end = find(docs[0][doc], Passages(doc, x["p"].astype(np.int64), x["n"].astype(np.int64), doc, x["l"].astype(np.int64), x["x"]), window)
-            yield from dealt("m", docs[1][doc[which]] % buckets, docs, doc[which], p=start.astype(np.uint32), e=end.astype(np.uint32))
+            yield from dealt("m", docs[1][doc[which]] % buckets, docs, doc[which], step, p=start.astype(np.uint32), e=end.astype(np.uint32))
 
     return table_of(out())
 
 
+def refined(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows for runs of buckets, dealt out to the buckets; about `limit` bytes of blobs at a time. Rows that name their bucket already pass."""
+    lean()
+
+    def rows() -> Iterator[tuple]:
+        held, size = {}, 0
+        for batch in batches:
+            for bucket, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if any(name == "b" for name, _, _ in pickle.loads(blob)[0]):
+                    held.setdefault(kind, []).append(blob)
+                    size += len(blob)
+                else:
+                    yield bucket, kind, blob
+                if size > limit:
+                    yield from dealt_again(held)
+                    held, size = {}, 0
+        yield from dealt_again(held)
+
+    def dealt_again(held: dict[str, list[bytes]]) -> Iterator[tuple]:
+        for kind, blobs in held.items():
+            docs, x = opened(blobs)
+            fine, doc = x.pop("b").astype(np.int64), x.pop("d")
+            if kind == "w":
+                yield from dealt_passages(Passages(doc, x["p"], x["n"], doc, x["l"].astype(np.int64), x["x"]), fine, docs)
+            else:
+                o = np.argsort(x["k_up"], kind="stable") if "k_up" in x else np.arange(len(doc))
+                yield from dealt(kind, fine[o], docs, doc[o], **{n: c[o] for n, c in x.items()})
+
+    return wire(rows())
+
+
 Finish = Callable[[pa.Table, list[bytes], np.ndarray, np.ndarray, np.ndarray], dict[str, pa.Array]]
 
 
@@ -519,7 +557,7 @@ def bucket_count(texts: DataFrame, column: Column, bucket_bytes: int = BUCKET_BY
     return max(LEAST_BUCKETS, -(-total // bucket_bytes))
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: int, k: int, find: Find, finish: Finish, adds: str, keep: bool = True, bucket_bytes: int = BUCKET_BYTES, flush: int = FLUSH, crowd: int = CROWD) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, *, unit: str, window: int, k: int, find: Find, finish: Finish, adds: str, keep: bool = True, bucket_bytes: int = BUCKET_BYTES, flush: int = FLUSH, crowd: int = CROWD, fan: int = FAN) -> DataFrame:
     """Rows of `docs` with what `finish` makes of each text and its repeated spans.
 
     `unit` is "byte" or "word". `adds` is the schema of the columns that `finish` returns; an input column of that name
@@ -538,11 +576,17 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, *, unit: str, wi
     th = F.xxhash64(text, key).bitwiseAND(F.lit(0xFFFFFFFF))
     own = [key.alias(ID), th.alias(TH), text.alias(TEXT)]
     whole = docs.select(*(F.col(f"`{f.name}`") for f in stay), *own, F.pmod(th, F.lit(buckets)).cast("int").alias(B))
+    step = -(-buckets // fan)
     how = {"unit": unit, "window": window, "k": k}
     edges = knots(window - k + 1)
-    sent = docs.select(*own).mapInArrow(partial(send_anchors, buckets=buckets, flush=flush, crowd=crowd, edges=edges, **how), WIRE)
-    met = sent.groupBy("bucket").applyInArrow(one(meet_anchors, buckets=buckets), WIRE)
-    asked = whole.groupBy(B).cogroup(met.groupBy("bucket")).applyInArrow(two(send_passages, buckets=buckets, edges=edges, find=find, **how), WIRE)
-    spans = asked.groupBy("bucket").applyInArrow(one(meet_passages, window=window, buckets=buckets, find=find), WIRE)
+
+    def routed(rows: DataFrame) -> DataFrame:
+        """A task's blob for a bucket shrinks with the number of buckets, so beyond `fan` of them rows go to a run of buckets first, where those of many tasks are dealt on."""
+        return rows if step == 1 else rows.repartition(-(-buckets // step), "bucket").mapInArrow(partial(refined, limit=8 * BUCKET_BYTES), WIRE)
+
+    sent = routed(docs.select(*own).mapInArrow(partial(send_anchors, buckets=buckets, flush=flush, crowd=crowd, edges=edges, step=step, **how), WIRE))
+    met = routed(sent.groupBy("bucket").applyInArrow(one(meet_anchors, buckets=buckets, step=step), WIRE))
+    asked = routed(whole.groupBy(B).cogroup(met.groupBy("bucket")).applyInArrow(two(send_passages, buckets=buckets, edges=edges, find=find, step=step, **how), WIRE))
+    spans = routed(asked.groupBy("bucket").applyInArrow(one(meet_passages, window=window, buckets=buckets, find=find, step=step), WIRE))
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stay), adds])
     return whole.groupBy(B).cogroup(spans.groupBy("bucket")).applyInArrow(two(finish_texts, finish=finish, names=[*(f.name for f in stay), *added], **how), shape)

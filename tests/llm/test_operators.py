@@ -72,7 +72,7 @@ def test_op9_on_the_table(spark, texts):
     assert got == brute.op9(texts)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 2000, "flush": 50}, {"bucket_bytes": 2000, "crowd": 1}, {"crowd": 0}])
+@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 2000, "flush": 50}, {"bucket_bytes": 2000, "crowd": 1}, {"crowd": 0}, {"bucket_bytes": 700, "fan": 7, "crowd": 1}])
 def test_windows_at_the_edges(spark, odd, sizes):
     got = by_id(suffix_dedup(frame(spark, odd), emit="digest", keep=False, **sizes).collect(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.op2(odd)
