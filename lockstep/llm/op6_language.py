@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .op5_toxicity import held_out
 from .op8_decontamination import normal_words
-from .textkit import chunks, pack, unpack, utf8
+from .textkit import chunks, lean, pack, unpack, utf8
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents of each language that the centroids are fitted on (in expectation; chosen by a hash of the id), centroids of a language.
@@ -24,7 +24,7 @@ UNKNOWN = "und"
 REJECT = 4.0
 _ASCII = np.zeros(256, bool)
 _ASCII[[*range(65, 91), *range(97, 123)]] = True
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: bytes) -> bool:
@@ -91,8 +91,9 @@ def spherical_kmeans(v: np.ndarray, k: int, rounds: int = 15) -> tuple[np.ndarra
     return c, own
 
 
-def fit(count: np.ndarray, lang: np.ndarray, centroids: int = CENTROIDS) -> Centroids:
-    idf = (np.log((1 + len(count)) / (1 + (count > 0).sum(0))) + 1).astype(np.float32)
+def fit(count: np.ndarray, lang: np.ndarray, n: int, held: np.ndarray, centroids: int = CENTROIDS) -> Centroids:
+    """From the counts and languages of the sampled texts, the number of all training texts, and how many of those hold each n-gram."""
+    idf = (np.log((1 + n) / (1 + held)) + 1).astype(np.float32)
     model = Centroids(idf, np.zeros((0, count.shape[1]), np.float32), np.zeros(0, str), np.zeros(0))
     rows, names, least = [], [], []
     v = model.vectors(count) if len(count) else count
@@ -118,19 +119,42 @@ def _counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["lang", "blob"])
 
 
+def _held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts hold each n-gram; under -1 how many texts there are."""
+    lean()
+    n, held = 0, np.zeros(1 << BITS, np.int64)
+    for b in batches:
+        raw = utf8(b.column(0))
+        n += len(raw)
+        for at in range(0, len(raw), 512):
+            for i, j in chunks(raw[at : at + 512], 1 << 21):
+                held += (counts(raw[at + i : at + j]) > 0).sum(0)
+    some = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(held[some], n), pa.int64())], ["gram", "n"])
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
-    """Fits on documents with a language, an id and a letter that aren't held out. The number of languages is that of the data; each costs the driver `sample` vectors."""
+    """Fits on documents with a language, an id and a letter that aren't held out.
+
+    Document frequencies count all of them; the centroids come from about `sample` of each language. The number of languages is that of the data; each costs the driver `sample` vectors.
+    """
     known = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    known = known.where(~held_out(F.col("id"), FOLDS, HELD_OUT))
+    known = known.where(~held_out(F.col("id"), FOLDS, HELD_OUT) & F.col("text").rlike(r"\p{L}"))
+    held, n = np.zeros(1 << BITS, np.int64), 0
+    for r in known.select("text").mapInArrow(_held_by, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        if r["gram"] < 0:
+            n = r["n"]
+        else:
+            held[r["gram"]] = r["n"]
     sizes = known.groupBy("lang").count().collect()
     rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1 << 30, (sample << 30) // r["count"])))]) if sizes else F.create_map(F.lit(""), F.lit(0))
     drawn = known.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 30)) < rate[F.col("lang")])
-    rows = drawn.where(F.col("text").rlike(r"\p{L}")).select("lang", "text").mapInArrow(_counts_of, "lang string, blob binary").orderBy("lang", F.xxhash64("blob")).collect()
+    rows = drawn.select("lang", "text").mapInArrow(_counts_of, "lang string, blob binary").orderBy("lang", F.xxhash64("blob")).collect()
     count = np.zeros((len(rows), 1 << BITS), np.float32)
     for k, r in enumerate(rows):
         x = unpack(bytes(r["blob"]))
         count[k, x["i_up"]] = x["n"]
-    return fit(count, np.array([r["lang"] for r in rows]), centroids)
+    return fit(count, np.array([r["lang"] for r in rows]), n, held, centroids)
 
 
 def identified(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ _FOLD[65:91] += 32
 
 
 def normal_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Folded buffer, word bounds, and each text's first word: runs of ASCII letters, digits and non-ASCII characters, with A-Z and the capitals of Latin-1 in lower case."""
+    """Folded buffer, word bounds, and each text's first word: runs of ASCII letters, digits and non-ASCII characters other than punctuation and spaces, with A-Z and the capitals of Latin-1 in lower case."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     buffer = _FOLD[raw]
     latin = np.flatnonzero(raw[:-1] == 0xC3) + 1
@@ -35,6 +35,14 @@ def normal_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     buffer[latin] += 32
     inside = np.zeros(len(raw) + 2, bool)
     inside[1:-1] = _LETTER[buffer]
+    # Punctuation and spaces beyond ASCII: U+00A0 to U+00BF but for letters, U+2000 to U+206F, U+3000 to U+301F.
+    pair = np.flatnonzero(raw[:-1] == 0xC2) + 1
+    pair = pair[(raw[pair] >= 0xA0) & ~np.isin(raw[pair], (0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA))]
+    triple = np.flatnonzero((raw[:-2] == 0xE2) | (raw[:-2] == 0xE3)) + 1
+    triple = triple[np.where(raw[triple - 1] == 0xE2, (raw[triple] == 0x80) | (raw[triple] == 0x81), (raw[triple] == 0x80) & (raw[np.minimum(triple + 1, len(raw) - 1)] < 0xA0))]
+    for at, width in ((pair - 1, 2), (triple - 1, 3)):
+        for k in range(width):
+            inside[1 + at + k] = False
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
     return buffer, edges[::2], edges[1::2], np.searchsorted(edges[::2], begins)

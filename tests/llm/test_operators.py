@@ -416,9 +416,107 @@ def test_language_at_the_edges(spark):
     assert {r["lang_pred"] for r in op6_language.identified(x, none).collect()} == {"und"}
 
 
+def test_language_against_a_plain_version(spark):
+    """Centroids and document frequencies as fitted; n-grams, weights and cosines one by one."""
+    rng = random.Random(2)
+    words = {"en": "the cat and dog house with that this there what".split(), "de": "der Hund und die Katze mit das Häuschen ist schön".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 30))) + rng.choice(["", "!", " 42", " — ñ"]), lang) for i in range(120) for lang in [rng.choice(["en", "de"])]]
+    x = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = op6_language.train(x, sample=60)
+    seen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+
+    def grams(text):
+        padded = "".join(c if c.isalnum() else " " * len(c.encode()) for c in text).lower().encode() + b" "
+        two = [(padded[p] << 8) + padded[p + 1] for p in range(len(padded) - 1)]
+        three = [(two[p] << 8) + padded[p + 2] for p in range(len(padded) - 2)]
+        m = (1 << 32) - 1
+        for g in two:
+            if g != 0x2020:
+                yield (g * 0x9E3779B1 & m) >> 20
+        for g in three:
+            if g & 0xFFFF00 != 0x202000:
+                yield ((((g * 0x85EBCA77 & m) ^ (g >> 7)) * 0xC2B2AE3D) & m) >> 20
+
+    held = [0] * (1 << op6_language.BITS)
+    for _, t, _ in seen:
+        for g in set(grams(t)):
+            held[g] += 1
+    assert model.idf == pytest.approx([np.log((1 + len(seen)) / (1 + h)) + 1 for h in held], rel=1e-5)
+    for r in op6_language.identified(x, model).collect():
+        tf = {}
+        for g in grams(rows[r["doc_id"]][1]):
+            tf[g] = tf.get(g, 0) + 1
+        v = {g: np.log1p(c) * model.idf[g] for g, c in tf.items()}
+        norm = np.sqrt(sum(a * a for a in v.values()))
+        cosine = [sum(a * c[g] for g, a in v.items()) / norm for c in model.rows]
+        assert r["score"] == pytest.approx(max(cosine), abs=1e-5)
+        assert r["lang_pred"] in [str(model.lang[k]) for k, c in enumerate(cosine) if c > max(cosine) - 1e-5]
+
+
 # 8: decontamination.
 
 
+def plain_score(words, item):
+    """Smith and Waterman's table, cell by cell."""
+    best, above = 0.0, [0.0] * (len(words) + 1)
+    for w in item:
+        row = [0.0]
+        for j, x in enumerate(words, 1):
+            row.append(max(0.0, above[j - 1] + (1 if x == w else -0.5), above[j] - 0.5, row[j - 1] - 0.5))
+        best, above = max(best, *row), row
+    return best
+
+
+def edited_copy(rng, item, share):
+    """Some words changed, some taken out, some put in."""
+    out = []
+    for w in item:
+        if rng.random() >= share:
+            out.append(w)
+        else:
+            out += rng.choice([[], [f"new{rng.randrange(99)}"], [w, f"new{rng.randrange(99)}"]])
+    return out
+
+
+def test_contaminated_against_all_alignments(spark):
+    rng = random.Random(6)
+    w = lambda n: [rng.choice("abcdefghijklmnop") + str(rng.randrange(3)) for _ in range(n)]
+    items = [(k, w(rng.randrange(1, 22))) for k in range(9)]
+    docs = [(i, w(rng.randrange(40)) + edited_copy(rng, items[i % 9][1], rng.choice([0, 0.1, 0.3, 0.5])) + w(rng.randrange(40))) for i in range(60)]
+    want = {}
+    for i, d in docs:
+        for k, t in items:
+            s = plain_score(d, t)
+            if s >= max(0.5 * len(t), min(len(t), 4)) - 1e-9:
+                want[i, k] = s / len(t)
+    x = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], DOCS)
+    y = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in contaminated(x, y, block_bytes=80).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_recall_of_edited_copies(spark):
+    """At 5, 15 and 25 % of the words."""
+    rng = random.Random(7)
+    w = lambda n: [f"v{int(3000 * rng.random() ** 3)}" for _ in range(n)]
+    items = [(k, w(40)) for k in range(20)]
+    docs = [(1000 * n + k, w(200) + edited_copy(rng, t, share) + w(100)) for n, share in enumerate((0.05, 0.15, 0.25)) for k, t in items] + [(9000 + k, w(300)) for k in range(20)]
+    x = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], DOCS)
+    y = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(x, y).collect()}
+    for n in range(3):
+        assert sum((1000 * n + k, k) in got for k in range(20)) >= 18
+    assert not [1 for i, _ in got if i >= 9000]
+
+
+def test_contaminated_in_a_very_long_text_and_typographic_quotes(spark):
+    item = "what is the name of the long river that flows through the old town"
+    x = spark.createDataFrame([(1, "word " * 200000 + item), (2, "“" + item.replace(" ", "” “") + "”…")], DOCS)
+    y = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    assert sorted((r["doc_id"], r["score"]) for r in contaminated(x, y).collect()) == [(1, 1.0), (2, 1.0)]
+
+
+
 def plain_alignment(passage, item):
     best, before = 0.0, [0.0] * (len(passage) + 1)
     for w in item:
