@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -23,6 +24,7 @@ from lockstep.llm.op8_decontamination import align, contaminated, decontaminate
 from lockstep.llm.op9_lz_dedup import lz_dedup, op9_lz_dedup
 from lockstep.llm.op10_simhash import links, op10_simhash, simhash_dedup, simhash_groups
 from lockstep.llm.packing import pack, reduce_dominated
+from lockstep.llm.registry import ORACLES, QUERIES
 from lockstep.llm.windows import Passages
 
 from . import brute
@@ -298,6 +300,37 @@ def test_ablations(spark, odd):
         assert r["kept_without"] == sum(b & mask & ~bit == 0 for b in bits)
 
 
+def test_quotes_that_were_wrapped_anew(spark):
+    said = "I would rather keep the old index until the new one has been measured on the whole table and nobody complains"
+    w = said.split()
+    again = "\n".join("> " + " ".join(w[i : i + 7]) for i in range(0, len(w), 7))
+    rows = [(1, 0, "a", "Hello there\n" + said), (1, 1, "b", "Something else was said here by me today"), (1, 2, "c", f"On Monday a wrote:\n{again}\nAgreed."), (1, 3, "d", "> keep the old index until the new\nWhy?"), (1, 4, "e", "> Agreed.\nOK")]
+    out = {r["turn"]: r for r in conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert [out[t]["parent_turn"] for t in range(5)] == [None, None, 0, 0, 2]
+    assert out[2]["body"] == "Agreed."
+    assert [out[t]["position"] for t in range(5)] == [0, 4, 1, 2, 3]
+
+
+def test_turns_that_many_rows_share(spark):
+    rows = [(1, 0, "a", "first words of it")] * 50 + [(1, 1, "b", "x"), (None, 0, "a", "y"), (1, None, "a", "> first words of it"), (None, None, "a", None)] + [(2, 7, "a", "long " * 50000 + "\n> quoted")]
+    out = conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert len(out) == len(rows)
+    assert sorted((r["conv_id"] or -1, r["turn"] if r["turn"] is not None else -1, r["position"] if r["position"] is not None else -1) for r in out) == sorted([(1, 0, 0)] * 50 + [(1, 1, 50), (-1, 0, -1), (1, -1, -1), (-1, -1, -1), (2, 7, 0)])
+
+
+@tables
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_against_their_sql(spark, name):
+    con = duckdb.connect()
+    for p in os.listdir(SF):
+        con.execute(f"CREATE VIEW {p[:-8]} AS SELECT * FROM read_parquet('{SF}/{p}')")
+    df = QUERIES[name](spark, SF)
+    want = con.execute(ORACLES[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(str([r[c] for c in sorted(names)]) for r in df.collect()) == sorted(str([v for _, v in sorted(zip(names, r, strict=True))]) for r in want.fetchall())
+
+
 # 5 and 6: classifiers.
 
 
