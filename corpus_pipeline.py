@@ -28,8 +28,10 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated 50-byte strings go from all but the first document that has them; a character that is cut goes as a whole."""
-    cut = suffix_dedup(docs)
-    return cut.select(*(F.col("kept_text").alias(c) if c == "text" else F.char_length("kept_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = suffix_dedup(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others))).alias("others")) if others else docs)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")} | {c: F.col(f"others.c{i}") for i, c in enumerate(others)} | ({"n_chars": F.char_length("kept_text").cast("long")} if "n_chars" in others else {})
+    return cut.select(*(made[c].alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
