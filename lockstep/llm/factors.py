@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .textkit import runs, spread, words
+from .textkit import spread, words
 from .windows import Passages, gathered
 
 
@@ -17,15 +17,18 @@ def word_ids(x: Passages) -> tuple[np.ndarray, np.ndarray]:
     size = end - start
     offsets = np.concatenate([[0], np.cumsum(size)])
     array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(gathered(buffer, start, size))])
-    return array.dictionary_encode().indices.to_numpy().astype(np.int64), first
+    return array.dictionary_encode().indices.to_numpy().astype(np.uint32), first
 
 
 def classes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A number for each pair, equal for equal pairs."""
-    o = np.lexsort((b, a))
-    out = np.zeros(len(a), np.int64)
-    begin = runs(a[o], b[o])
-    out[o] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(o))))
+    """A number for each pair of numbers below 2**32, equal for equal pairs."""
+    pair = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+    o = np.argsort(pair)
+    pair = pair[o]
+    new = np.ones(len(pair), bool)
+    new[1:] = pair[1:] != pair[:-1]
+    out = np.empty(len(pair), np.uint32)
+    out[o] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
     return out
 
 
@@ -51,7 +54,7 @@ class Block:
         alive, size = np.arange(len(at)), least
         while len(alive):
             own = ids[owner[alive]]
-            smallest = np.full(number.max() + 1, np.iinfo(np.int64).max)
+            smallest = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
             np.minimum.at(smallest, number, own)
             found = smallest[number] < own
             self.length[alive[found]] = size

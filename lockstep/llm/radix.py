@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textkit import runs, spread
+from .textkit import runs
 from .windows import Passages
 
 #: Bytes of a digit, and suffixes that are sorted together (more only where they share the first digit).
@@ -20,15 +20,15 @@ def digit(buffer: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def repeated(buffer: np.ndarray, at: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
-    """Which suffixes agree through `depth` bytes with one of a smaller id.
+def repeated(buffer: np.ndarray, at: np.ndarray, owner: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
+    """Which suffixes agree through `depth` bytes with one of a smaller id; ids[owner] are theirs.
 
     Suffixes are parted by their first digit, then ordered group by group by one digit after the other. A group within
     one document is left after each pass. The groups after the last digit are exactly the strings of `depth` bytes in several documents.
     """
     later = np.zeros(len(at), bool)
     first = digit(buffer, at, min(DIGIT, depth))
-    whole = np.argsort(first, kind="stable")
+    whole = np.argsort(first, kind="stable").astype(np.int32)
     bounds = np.append(runs(first[whole]), len(whole))
     a = 0
     while a < len(whole):
@@ -45,21 +45,24 @@ def repeated(buffer: np.ndarray, at: np.ndarray, ids: np.ndarray, depth: int) ->
                 begin = runs(group)
             if not len(alive):
                 break
-            size = np.diff(np.append(begin, len(alive)))
-            least, most = (f.reduceat(ids[alive], begin) for f in (np.minimum, np.maximum))
+            size, own = np.diff(np.append(begin, len(alive))), ids[owner[alive]]
+            least, most = (f.reduceat(own, begin) for f in (np.minimum, np.maximum))
             several = np.repeat(least < most, size)
-            group = np.repeat(np.arange(len(begin)), size)[several]
+            group = np.repeat(np.arange(len(begin), dtype=np.int32), size)[several]
             alive, least = alive[several], np.repeat(least, size)[several]
         if len(alive):
-            later[alive] = ids[alive] > least
+            later[alive] = ids[owner[alive]] > least
         a = z
     return later
 
 
 def repeats(ids: np.ndarray, x: Passages, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passage, first byte and end of each window that also starts in a smaller document."""
-    owner, nth = spread(x.count)
-    begin = np.cumsum(x.length) - x.length
-    later = repeated(x.text, begin[owner] + nth, ids[owner], window)
-    start = x.start[owner[later]] + nth[later]
-    return owner[later], start, start + window
+    owner = np.repeat(np.arange(len(x.count), dtype=np.int32), x.count)
+    # Windows of passages follow each other by a byte, passages by their length.
+    skip = (np.cumsum(x.length) - x.length - np.cumsum(x.count) + x.count).astype(np.int64)
+    at = (np.arange(len(owner)) + skip[owner]).astype(np.int32 if len(x.text) < 2**31 else np.int64)
+    later = np.flatnonzero(repeated(x.text, at, owner, ids, window))
+    which = owner[later].astype(np.int64)
+    start = x.start[which] + later - (np.cumsum(x.count) - x.count)[which]
+    return which, start, start + window

@@ -33,7 +33,7 @@ from pyspark.sql.types import StructType
 from .textkit import PAD_BYTE, chunks, gram_hashes, lean, lift, mix, pack, prefix_sums, runs, slice_hashes, spread, unpack, utf8, window_min, word_hashes, words
 
 #: Text bytes of a bucket, and the fewest buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 12 << 20, 48
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 48
 #: Anchors or windows that a task holds before it sorts and sends them.
 FLUSH = 500_000
 #: Buckets that a task deals out to directly.
