@@ -119,10 +119,25 @@ class Passages:
         return Passages(self.doc[keep], self.start[keep], self.count[keep], self.key[keep], self.length[keep], gathered(self.text, begin[keep], self.length[keep]))
 
 
+#: Numbers that `gathered` indexes at once.
+GATHER = 1 << 20
+
+
 def gathered(buffer: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The slices of a buffer one after the other."""
-    owner, nth = spread(length)
-    return buffer[begin[owner] + nth]
+    """The slices of a buffer one after the other; indexes are made for a part of them at a time, as they take many times the room of bytes."""
+    ends = np.cumsum(length)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, buffer.dtype)
+    i = 0
+    while i < len(length):
+        done = int(ends[i] - length[i])
+        j = max(i + 1, int(np.searchsorted(ends, done + GATHER, "right")))
+        if j == i + 1:
+            out[done : ends[i]] = buffer[begin[i] : begin[i] + length[i]]
+        else:
+            owner, nth = spread(length[i:j])
+            out[done : ends[j - 1]] = buffer[begin[i:j][owner] + nth]
+        i = j
+    return out
 
 
 def passages_at(texts: list[bytes], text: np.ndarray, pos: np.ndarray, unit: str, window: int, k: int, alone: bool) -> Passages:
@@ -441,7 +456,12 @@ def dealt_passages(x: Passages, bucket: np.ndarray, docs: tuple[np.ndarray, ...]
         yield int(bucket[o[a]]), "w", sealed(docs, x.doc[at].astype(np.uint32), p=x.start[at].astype(np.uint32), n=x.count[at].astype(np.uint32), l=x.length[at].astype(np.uint32), x=gathered(x.text, begin[at], x.length[at]), **({"b": fine[at]} if step > 1 else {}))
 
 
-def send_passages(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: int, buckets: int, edges: np.ndarray, find: Find, step: int = 1) -> pa.Table:
+def block_of(key: np.ndarray, blocks: int) -> np.ndarray:
+    """By a hash of the key: runs of one word have an anchor at every place, however large its key, so ranges of keys would be uneven here."""
+    return (((mix(key) >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int32)
+
+
+def send_passages(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: int, buckets: int, find: Find, step: int = 1) -> pa.Table:
     """The text around the places to look at. Windows of hot anchors are settled here first, so of equal ones a single document goes out."""
 
     def out() -> Iterator[tuple]:
@@ -451,7 +471,7 @@ def send_passages(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: in
         spans = context_spans(known, rows, unit_counts(raw, unit), window, k)
         x = asked_passages(known, raw, rows, "q", unit, window, k)
         if x:
-            yield from dealt_passages(x, bucket_of(x.key, edges, buckets), table, step)
+            yield from dealt_passages(x, block_of(x.key, buckets), table, step)
         x = asked_passages(known, raw, rows, "h", unit, window, k)
         if x:
             which, start, end = find(table[0][x.doc], x, window)
@@ -459,7 +479,7 @@ def send_passages(texts: pa.Table, rows: pa.Table, unit: str, window: int, k: in
             keep = np.ones(len(x.doc), bool)
             keep[which] = False
             x = x.where(keep)
-            yield from dealt_passages(x, (((x.key >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32), table, step)
+            yield from dealt_passages(x, block_of(x.key, buckets), table, step)
         if spans:
             row, start, end = covered(*(np.concatenate(c) for c in zip(*spans, strict=True)))
             yield from dealt("m", table[1][row] % buckets, table, row, step, p=start.astype(np.uint32), e=end.astype(np.uint32))
@@ -586,7 +606,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, *, unit: str, wi
 
     sent = routed(docs.select(*own).mapInArrow(partial(send_anchors, buckets=buckets, flush=flush, crowd=crowd, edges=edges, step=step, **how), WIRE))
     met = routed(sent.groupBy("bucket").applyInArrow(one(meet_anchors, buckets=buckets, step=step), WIRE))
-    asked = routed(whole.groupBy(B).cogroup(met.groupBy("bucket")).applyInArrow(two(send_passages, buckets=buckets, edges=edges, find=find, step=step, **how), WIRE))
+    asked = routed(whole.groupBy(B).cogroup(met.groupBy("bucket")).applyInArrow(two(send_passages, buckets=buckets, find=find, step=step, **how), WIRE))
     spans = routed(asked.groupBy("bucket").applyInArrow(one(meet_passages, window=window, buckets=buckets, find=find, step=step), WIRE))
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stay), adds])
     return whole.groupBy(B).cogroup(spans.groupBy("bucket")).applyInArrow(two(finish_texts, finish=finish, names=[*(f.name for f in stay), *added], **how), shape)

@@ -486,6 +486,40 @@ def test_language_against_a_plain_version(spark):
         assert r["lang_pred"] in [str(model.lang[k]) for k, c in enumerate(cosine) if c > max(cosine) - 1e-5]
 
 
+def test_language_of_repeated_and_long_rows(spark):
+    rows = [(i % 10, "the cat and the dog in the house" if i % 2 else "der Hund und die Katze im Haus", "en" if i % 2 else "de") for i in range(40)] + [(None, "the dog", "en"), (77, "das Haus und der Hund " * 100000, None), (78, "◌́ 12", "en"), (79, "½ ²", "de")]
+    x = spark.createDataFrame([(*r, 9, 0.1, True) for r in rows], "doc_id bigint, text string, lang string, lang_pred int, score double, held_out boolean")
+    out = op6_language.identified(x, op6_language.train(x)).collect()
+    assert len(out) == len(rows)
+    got = {}
+    for r in out:
+        got.setdefault(r["doc_id"], set()).add((r["lang_pred"], round(r["score"], 5)))
+    assert {k: {p for p, _ in v} for k, v in got.items()} == {**{i: {"en" if i % 2 else "de"} for i in range(10)}, None: {"en"}, 77: {"de"}, 78: {"und"}, 79: {"und"}}
+    assert all(len(v) == 1 for v in got.values())
+
+
+def test_packing_of_ties_and_repeated_rows(spark):
+    rows = [(i, "one two three four five six seven") for i in range(500)] + [(7, "one two three four five six seven")] * 20 + [(None, None), (None, ""), (900, "word " * 30000)]
+    x = spark.createDataFrame([(i, t, 5, 6) for i, t in rows], "doc_id bigint, text string, piece int, offset long").repartition(3)
+    out = packed(x).collect()
+    assert len([r for r in out if r["doc_id"] != 900]) == 522
+    assert len([r for r in out if r["doc_id"] == 7]) == 21
+    used = {}
+    for r in out:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in used.values():
+        end = 0
+        for at, n in sorted(parts):
+            assert at == end
+            end += n
+        assert end <= 2048
+    assert len(used) == brute.fewest([r["length"] for r in out], 2048)
+    long = sorted((r["piece"], r["start"], r["length"]) for r in out if r["doc_id"] == 900)
+    assert [p for p, _, _ in long] == list(range(len(long)))
+    assert all(start == 2048 * p for p, start, _ in long)
+    assert all(n == 2048 for _, _, n in long[:-1])
+
+
 # 8: decontamination.
 
 
