@@ -205,24 +205,28 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray, int]], weight: np.ndarray,
         rate = float(given.mean()) if n else 0.0
         bias = float(np.log((rate * n + 0.01) / ((1 - rate) * n + 0.99))) if n else -4.6
         return Toxicity(np.zeros(size, bool), np.zeros(size), bias, LabelModel())
-    lengths = np.array([len(r[1]) for r in rows])
-    row, feature, count = np.repeat(np.arange(n, dtype=np.int32), lengths), np.concatenate([r[1] for r in rows]).astype(np.int32), np.concatenate([r[2] for r in rows])
-    row0, w = row, weight[row]
-    pos, neg = (np.bincount(feature, w * (given[row] == y), size) for y in (1, 0))
+    # Row by row, as a row names a feature once: arrays over all rows and features would be many times the rows themselves.
+    weighed, seen = np.zeros((2, size)), np.zeros((2, size), np.int64)
+    for (y, f, *_), w in zip(rows, weight, strict=True):
+        weighed[y, f] += w
+        seen[y, f] += 1
+    (neg, pos), held = weighed, seen.sum(axis=0)
     total = np.array([(weight * (given == y)).sum() for y in (1, 0)])
-    held = np.bincount(feature, minlength=size)
     excess = np.where(held >= 4, (pos / total[0] - neg / total[1]) / np.sqrt((pos + neg + 1) / total.sum()), 0)
     ranked = np.argsort(-np.abs(excess), kind="stable")[:wanted]
     ranked = ranked[excess[ranked] != 0]
     number = np.full(size, -1)
     number[ranked] = np.arange(len(ranked))
-    keep = number[feature] >= 0
-    row, column, value = row[keep], number[feature[keep]], np.log1p(count[keep])
+    kept = [number[f] >= 0 for _, f, *_ in rows]
+    row = np.repeat(np.arange(n, dtype=np.int32), [k.sum() for k in kept])
+    column = np.concatenate([number[r[1][k]] for r, k in zip(rows, kept, strict=True)])
+    value = np.log1p(np.concatenate([r[2][k] for r, k in zip(rows, kept, strict=True)]))
     by_column = np.argsort(column, kind="stable")
     cuts = np.searchsorted(column[by_column], np.arange(len(ranked) + 1))
     patterns = np.array([r[3] for r in rows], np.int64)
     columns = [(patterns >> b) & 1 for b in range(len(PATTERNS))]
-    (n1, n0), (rows1, rows0) = (((given == y).sum() for y in (1, 0)), (np.bincount(feature, given[row0] == y, size)[ranked] for y in (1, 0)))
+    n1, n0 = ((given == y).sum() for y in (1, 0))
+    rows0, rows1 = seen[:, ranked]
     share = (rows1 + rows0) / n
     surprise = (rows1 / n1 - rows0 / n0) / np.sqrt(share * (1 - share + 1 / n) * (1 / n1 + 1 / n0))
     lift = (rows1 + 0.5) / n1 / ((rows0 + 0.5) / n0)
