@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ CAPACITY, END = 2048, 0
 #: Parts of texts, and words, whose ids a Python worker remembers, in each of two generations.
 PARTS, WORDS = 100_000, 150_000
 #: Bytes of texts, about, that are tokenised together.
-SLICE = 2_000_000
+SLICE = 5_000_000
 #: Pieces of about so many rows are numbered together.
 NUMBERED = 50_000
 _STOP = "\x01"
@@ -47,12 +47,16 @@ def _whole(word: str) -> bool:
 def _encoded(words: list[str], tokenizer: object) -> dict[str, bytes]:
     """Ids of each word. Plain words go to the model at once; others through the whole tokenizer, many as one text, with a sign between them that has an id of its own."""
     model, letters = tokenizer.model, _letters()
-    out, rest = {}, []
+    out, rest, plain, found, ends = {}, [], [], [], [0]
     for w in words:
         if _whole(w):
-            out[w] = b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(w.lower() if w.isascii() else w.encode().decode("latin-1").translate(letters)))
+            plain.append(w)
+            found += [t.id for t in model.tokenize(w.lower() if w.isascii() else w.encode().decode("latin-1").translate(letters))]
+            ends.append(4 * len(found))
         else:
             rest.append(w)
+    whole = np.array(found, "<u4").tobytes()
+    out.update((w, whole[a:z]) for w, a, z in zip(plain, ends[:-1], ends[1:], strict=True))
     stop = tokenizer.encode(_STOP, add_special_tokens=False).ids
     for a in range(0, len(rest), 1000):
         some = rest[a : a + 1000]
@@ -67,6 +71,8 @@ def _encoded(words: list[str], tokenizer: object) -> dict[str, bytes]:
 
 def _base(part: str) -> tuple[str, str]:
     """A word in letters whose first is lower case, and a full stop or comma after it; else the part itself. The tokenizer lowers case and parts words from signs, so ids add up."""
+    if part.islower() and part.isalpha():
+        return part, ""
     tail = part[-1:] if part.endswith((".", ",")) else ""
     word = part[: len(part) - len(tail)]
     if not word.isalpha():
@@ -81,18 +87,26 @@ class _Recent:
     def __init__(self, limit: int) -> None:
         self.limit, self.new, self.old = limit, {}, {}
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Keys without ids; the others are kept on."""
+    def ids(self, keys: list[str], make: Callable[[list[str]], dict[str, bytes]]) -> list[bytes]:
+        """Ids of the keys; `make` gives those of the keys that aren't known."""
         if len(self.new) > self.limit:
             self.new, self.old = {}, self.new
+        out = list(map(self.new.get, keys))
         lost = []
-        for k in keys - self.new.keys():
-            v = self.old.get(k)
+        for i, v in enumerate(out):
             if v is None:
-                lost.append(k)
-            else:
-                self.new[k] = v
-        return lost
+                k = keys[i]
+                v = out[i] = self.old.get(k)
+                if v is None:
+                    lost.append(i)
+                else:
+                    self.new[k] = v
+        if lost:
+            made = make([keys[i] for i in lost])
+            self.new.update(made)
+            for i in lost:
+                out[i] = made[keys[i]]
+        return out
 
 
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +122,14 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
     coded = split.flatten().dictionary_encode()
     parts = coded.dictionary.to_pylist()
-    new = known.missing(set(parts))
-    if new:
-        bases = [(p, *_base(p)) for p in new]
-        lost = words.missing({".", ","}.union(b for _, b, _ in bases))
-        words.new.update(_encoded(lost, tokenizer))
-        ids = words.new
-        ends = {"": b"", ".": ids["."], ",": ids[","]}
-        known.new.update((part, ids[base] + ends[tail]) for part, base, tail in bases)
-    raw = [known.new[p] for p in parts]
+
+    def of_words(some: list[str]) -> dict[str, bytes]:
+        bases, tails = zip(*map(_base, some), strict=True)
+        dot, comma, *own = words.ids([".", ",", *bases], lambda w: _encoded(list(dict.fromkeys(w)), tokenizer))
+        ends = {"": b"", ".": dot, ",": comma}
+        return {p: i + ends[t] for p, i, t in zip(some, own, tails, strict=True)}
+
+    raw = known.ids(parts, of_words)
     size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
     begin, at = np.cumsum(size) - size, coded.indices.to_numpy(zero_copy_only=False)
     owner, nth = spread(size[at])
