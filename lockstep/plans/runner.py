@@ -1,6 +1,6 @@
 """Several jobs over one session, and a command line for one job.
 
-    python -m lockstep.plans.runner -i PATH -w MODULE:WORKER -m MODULE:MASTER -s "halt boolean, value bigint" [-c 50] [-n NAME] [-W 4] [-inputformat text] [-D key=value]...
+    python -m lockstep.plans.runner -i PATH -w MODULE:WORKER -m MODULE:MASTER -s "halt boolean, value bigint" [-c 50] [-n NAME] [-W 4 | --folders] [-inputformat text] [-D key=value]...
 """
 
 from __future__ import annotations
@@ -83,7 +83,9 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p.add_argument("-s", "--schema", required=True, help="schema of the state")
     p.add_argument("-c", "--iterations", type=int, default=50)
     p.add_argument("-n", "--name", default="iterative")
-    p.add_argument("-W", "--workers", type=int, help="logical workers; without it one for each file")
+    each = p.add_mutually_exclusive_group()
+    each.add_argument("-W", "--workers", type=int, help="logical workers; without it one for each file")
+    each.add_argument("--folders", action="store_true", help="a logical worker for each folder of files, such as Spark writes, in place of each file")
     p.add_argument("-o", "--output", help="where the last state goes, as JSON")
     p.add_argument("-inputformat", "--input-format", default="text", help="text, or any format that Spark reads")
     p.add_argument("--halt-on-all-workers", action="store_true", help="end when every worker's row says halt")
@@ -100,7 +102,7 @@ def main(argv: Sequence[str] | None = None) -> Result:
     spark = SparkSession.builder.appName(args.name).getOrCreate()
     lines = read_text(spark, args.input, with_file=True) if args.input_format == "text" else read(spark, args.input, args.input_format, with_file=True)
     columns = [c for c in lines.columns if c != "file"]
-    data = with_worker_id(lines, args.workers, ["file", *columns]) if args.workers else with_worker_id(lines, file="file")
+    data = with_worker_id(lines, args.workers, ["file", *columns]) if args.workers else with_worker_id(lines, file="file", folders=args.folders)
     if args.workers:
         data = require_workers(data, args.workers)
     job = IterativeJob(data, load(args.worker), load(args.master), args.schema, max_iter=args.iterations, name=args.name, options=args.options, halt_on_all_workers=args.halt_on_all_workers)

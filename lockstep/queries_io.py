@@ -7,7 +7,6 @@ return whether the error came.
 from __future__ import annotations
 
 import threading
-import time
 import uuid
 from collections.abc import Callable
 
@@ -419,12 +418,11 @@ def parallel_jobs_with_a_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sum_chain(3) + " SELECT 3::INTEGER AS iteration, m AS value FROM m3")
 def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A job by the command line's arguments: a worker for each file of a folder."""
+    """A job by the command line's arguments: a worker for each folder, into which every task that reads the table writes a file."""
     at = scratch(spark)
-    for w in range(W):
-        quantities(spark, sf_dir).where(F.col(WORKER) == w).select(F.col("value").cast("string")).coalesce(1).write.text(f"{at}/{w}")
+    quantities(spark, sf_dir).select(WORKER, F.col("value").cast("string")).write.partitionBy(WORKER).text(at)
     here = "lockstep.operators.carry_sum"
-    r = main(["-i", f"{at}/*", "-w", f"{here}:line_worker", "-m", f"{here}:line_master", "-s", "halt boolean, value bigint", "-c", "3"])
+    r = main(["-i", f"{at}/{WORKER}=*", "--folders", "-w", f"{here}:line_worker", "-m", f"{here}:line_master", "-s", "halt boolean, value bigint", "-c", "3"])
     return spark.createDataFrame([(r.iteration, r.state["value"])], "iteration int, value bigint")
 
 
@@ -433,15 +431,14 @@ def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS iteration, count(DISTINCT event_type) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1 UNION ALL SELECT -1, 1")
 def late_results_in_a_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of results arrive one after the other: some results twice, one from hours later (twice, as what is late is told by the batch before), then such as are late by then."""
+    """Results arrive one batch of files after the other: some results twice, one from hours later (twice, as what is late is told by the batch before), then such as are late by then."""
     at = scratch(spark)
     x = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("iteration"), F.col("event_type").alias("worker_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id"))
     first = x.where("event_id % 2 = 0").drop("event_id")
     later = x.agg((F.max("ts") + F.expr("INTERVAL 3 HOURS")).alias("ts")).select(F.lit(-1).cast("long").alias("iteration"), F.lit("end").alias("worker_id"), "ts")
     for name, rows in (("a", first.union(first)), ("b", later), ("c", later), ("d", x.drop("event_id"))):
-        rows.coalesce(1).write.parquet(f"{at}/in/{name}")
-        time.sleep(0.05)
-    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
-    run = accepted(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
-    run.awaitTermination()
+        rows.write.parquet(f"{at}/in/{name}")
+        stream = spark.readStream.schema(first.schema).parquet(f"{at}/in/*")
+        run = accepted(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.parquet(f"{at}/out").groupBy("iteration").agg(F.count("*").alias("n"))

@@ -68,11 +68,14 @@ def worker_table(spark: SparkSession, path: str | list[str], block_bytes: int, c
 
 @contextmanager
 def split_workers(spark: SparkSession, path: str | list[str], block_bytes: int, combine_bytes: int | None = None) -> Iterator[DataFrame]:
-    """(worker_id, value): lines of text files with the worker whose split they are read in. The frame must be run, or kept, within the context."""
+    """(worker_id, value): lines of text files with the worker whose split they are read in. The frame must be run, or kept, within the context.
+
+    The table of splits goes out to the lines, so that those of one large file stay in the tasks that read them.
+    """
     table = worker_table(spark, path, block_bytes, combine_bytes)
     with splitting(spark, block_bytes):
         at = F.col("_metadata.file_block_start")
         lines = spark.read.text(paths(path)).where(not_meta()).select("value", F.col("_metadata.file_path").alias("file"), F.floor(at / block_bytes).cast("int").alias("index"))
         last = table.groupBy("file").agg(F.max("index").alias("last"))
-        placed = lines.join(last, "file").withColumn("index", F.least("index", "last"))
-        yield placed.join(table.select(WORKER, "file", "index"), ["file", "index"]).select(WORKER, "value")
+        placed = lines.join(F.broadcast(last), "file").withColumn("index", F.least("index", "last"))
+        yield placed.join(F.broadcast(table.select(WORKER, "file", "index")), ["file", "index"]).select(WORKER, "value")

@@ -38,3 +38,20 @@ def test_query(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     expected = [tuple(plain(v) for _, v in sorted(zip(names, r, strict=True))) for r in got.fetchall()]
     assert sorted(map(str, rows)) == sorted(map(str, expected))
+
+
+@pytest.mark.parametrize(("name", "tables", "written"), [("command_line", ["lineitem"], [f"worker_id={w}" for w in range(4)]), ("late_results_in_a_stream", ["events"], ["in/a", "in/d"])])
+def test_no_task_writes_a_whole_table(spark, duck, tmp_path, monkeypatch, name, tables, written):
+    """A table of four files gives at least four files, and the same rows."""
+    for t in tables:
+        spark.read.parquet(f"{SF}/{t}.parquet").repartition(4).write.parquet(f"{tmp_path}/sf/{t}.parquet")
+    monkeypatch.setattr(queries_io, "scratch", lambda s: f"file://{tmp_path}/at")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        rows = QUERIES[name](spark, f"file://{tmp_path}/sf").collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, duck.execute(ORACLES[name]).fetchall()))
+    for folder in written:
+        assert len(glob.glob(f"{tmp_path}/at/{folder}/part-*")) >= 4

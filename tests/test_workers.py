@@ -16,8 +16,9 @@ from lockstep.operators.carry_sum import carry_sum_job, worker_sums
 from lockstep.plans.job import IterativeJob
 from lockstep.plans.partial import Partial, StragglerError
 from lockstep.plans.runner import check, main, run_jobs
+from lockstep.sources.readers import read_text, splitting
 from lockstep.sources.splits import packed, split_workers, splits, worker_table
-from lockstep.sources.workers import WORKER
+from lockstep.sources.workers import WORKER, with_worker_id
 
 
 def test_splits_have_some_slop(spark, tmp_path):
@@ -189,3 +190,42 @@ def test_several_outputs_by_batches(spark):
     for k, (e, g) in a.items():
         assert b[k][0] == pytest.approx(e)
         assert b[k][1] == pytest.approx(g)
+
+
+def test_a_file_s_lines_stay_in_many_tasks(spark, tmp_path):
+    """However few files there are, and however large Spark thinks that the table of them is."""
+    for name in ("b/1", "b/2", "a/1"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("7\n" * 2000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tasks = F.count_distinct("task").alias("tasks")
+        with splitting(spark, 500):
+            lines = read_text(spark, f"file://{tmp_path}/*", with_file=True)
+            got = with_worker_id(lines, file="file").withColumn("task", F.spark_partition_id()).groupBy(WORKER, F.right("file", F.lit(3)).alias("file")).agg(F.count("*").alias("n"), tasks).orderBy(WORKER).collect()
+            assert [(r[WORKER], r["file"], r["n"]) for r in got] == [(0, "a/1", 2000), (1, "b/1", 2000), (2, "b/2", 2000)]
+            assert min(r["tasks"] for r in got) > 4
+        with split_workers(spark, f"file://{tmp_path}/a", 500) as rows:
+            assert rows.withColumn("task", F.spark_partition_id()).agg(tasks).first()["tasks"] > 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_worker_for_each_folder(spark, tmp_path):
+    for name, value in (("x/1", 1), ("x/2", 2), ("y/1", 4)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"{value}\n")
+    here = "lockstep.operators.carry_sum"
+    common = ["-i", f"file://{tmp_path}/*", "-w", f"{here}:line_worker", "-m", f"{here}:line_master", "-s", "halt boolean, value bigint", "-c", "2"]
+    assert main([*common, "--folders"]).state["value"] == 7 * 2 + 7
+    assert main(common).state["value"] == 7 * 3 + 7
+    lines = with_worker_id(read_text(spark, f"file://{tmp_path}/*", with_file=True), file="file", folders=True)
+    assert sorted((r["value"], r[WORKER]) for r in lines.collect()) == [("1", 0), ("2", 0), ("4", 1)]
+    odd = with_worker_id(spark.createDataFrame([("b",), (None,), ("a",)], "file string"), file="file", folders=True)
+    assert {r["file"]: r[WORKER] for r in odd.collect()} == {None: 0, "a": 1, "b": 1}
+
+
+def test_null_file_is_worker_0(spark):
+    x = with_worker_id(spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "file string"), file="file")
+    assert sorted((r["file"] or "", r[WORKER]) for r in x.collect()) == [("", 0), ("a", 1), ("b", 2), ("b", 2)]
